@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import mixing, tokencount
+from tidewake.llm import jaccard, mixing, tokencount
 from tidewake.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("rounds")).cast("long").alias("taken"))
@@ -39,5 +43,5 @@ SELECT p.key AS doc_id, p.source, p.size, p.source_size, p.target, CAST(p.size *
 FROM placed p LEFT JOIN taken t ON p.key = t.key AND p.source IS NOT DISTINCT FROM t.source
 """
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op3_token_counts": op3_token_counts, "op4_ngram_jaccard": op4_ngram_jaccard, "op9_mix_sources": op9_mix_sources}
 ORACLE_SQL = {"op9_mix_sources": OP9_SQL}
