@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import jaccard, mixing, tokencount
+from tidewake.llm import jaccard, licenses, mixing, mpegaudio, tokencount, urlfilter
 from tidewake.llm.tables import table
 
 
@@ -18,6 +18,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("segments"))
+
+
+def op8_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegaudio.digest_column(mpegaudio.encode_column(table(spark, sf_dir, "documents")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("rounds")).cast("long").alias("taken"))
@@ -43,5 +56,35 @@ SELECT p.key AS doc_id, p.source, p.size, p.source_size, p.target, CAST(p.size *
 FROM placed p LEFT JOIN taken t ON p.key = t.key AND p.source IS NOT DISTINCT FROM t.source
 """
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op4_ngram_jaccard": op4_ngram_jaccard, "op9_mix_sources": op9_mix_sources}
-ORACLE_SQL = {"op9_mix_sources": OP9_SQL}
+OP5_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')) AS t(verdict, rule, name, start)),
+hits AS (SELECT p.page_id, p.host, p.path, r.rule, r.verdict FROM parts p LEFT JOIN rules r ON (p.host = r.name OR ends_with(p.host, '.' || r.name)) AND starts_with(p.path, r.start))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict FROM hits GROUP BY page_id, host, path
+"""
+
+OP6_SQL = """
+WITH templates AS (SELECT * FROM (VALUES %s) AS t(license, grams)),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+sized AS (SELECT doc_id, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM cut),
+longer AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS line FROM sized WHERE len(string_split(norm, ' ')) > (SELECT max(len(grams)) FROM templates) * 1.5 + 1),
+segments AS (SELECT doc_id, line, norm FROM sized UNION ALL
+  SELECT doc_id, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+', ' ', 'g')) FROM longer),
+words AS (SELECT DISTINCT doc_id, line, string_split(norm, ' ') AS w FROM segments WHERE norm <> ''),
+grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
+scored AS (SELECT doc_id, license, line, max(2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams))) AS dice FROM grams, templates WHERE len(g) BETWEEN 1 AND len(grams) * 3 GROUP BY ALL)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM scored WHERE dice >= 0.8 GROUP BY doc_id, license
+""" % ", ".join("('%s', [%s])" % (name, ", ".join(f"'{g}'" for g in licenses.template_bigrams(text))) for name, text in licenses.TEMPLATES)
+
+QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
+    "op8_media_column": op8_media_column,
+    "op9_mix_sources": op9_mix_sources,
+}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_mix_sources": OP9_SQL}
