@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import jaccard, licenses, mixing, mpegaudio, tokencount, urlfilter
+from tidewake.llm import jaccard, licenses, mixing, mpegaudio, tokencount, toxicity, urlfilter
 from tidewake.llm.tables import table
 
 
@@ -56,6 +56,19 @@ SELECT p.key AS doc_id, p.source, p.size, p.source_size, p.target, CAST(p.size *
 FROM placed p LEFT JOIN taken t ON p.key = t.key AND p.source IS NOT DISTINCT FROM t.source
 """
 
+def learned_rows(labels: DataFrame, parts: int, held: int) -> DataFrame:
+    """The labels that may be learnt from: those of rows that are not held out."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != held)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, learned_rows(table(spark, sf_dir, "labels"), 3, 1))
+    scored = toxicity.score_texts(docs, model)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP5_SQL = """
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -86,5 +99,6 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op8_media_column": op8_media_column,
     "op9_mix_sources": op9_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op6_license_scan": OP6_SQL, "op9_mix_sources": OP9_SQL}
