@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import jaccard, licenses, mixing, mpegaudio, tokencount, toxicity, urlfilter
+from tidewake.llm import decontaminate, jaccard, licenses, mixing, mpegaudio, tokencount, toxicity, urlfilter
 from tidewake.llm.tables import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -93,6 +98,7 @@ SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM s
 """ % ", ".join("('%s', [%s])" % (name, ", ".join(f"'{g}'" for g in licenses.template_bigrams(text))) for name, text in licenses.TEMPLATES)
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_url_filter": op5_url_filter,

@@ -20,6 +20,9 @@ _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words that are runs of letters and digits: every other ASCII byte separates.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -49,13 +52,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_segment(data: np.ndarray) -> np.ndarray:
+def _hash_segment(data: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
     """Hashes of the words of one segment, which starts and ends at word boundaries."""
-    return _located(data)[0]
+    return _located(data, gaps)[0]
 
 
-def _located(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = ~_SPACE[data]
+def _located(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    solid = ~gaps[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
@@ -82,11 +85,11 @@ def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
     """64-bit hashes of the words of one text given as UTF-8 bytes, in text order."""
     if len(data) <= SEGMENT:
-        return _hash_segment(data)
-    return np.concatenate([np.empty(0, np.uint64)] + [_hash_segment(data[a:b]) for a, b in _cuts(data)])
+        return _hash_segment(data, gaps)
+    return np.concatenate([np.empty(0, np.uint64)] + [_hash_segment(data[a:b], gaps) for a, b in _cuts(data)])
 
 
 def located_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
