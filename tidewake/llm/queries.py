@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontaminate, jaccard, licenses, mixing, mpegaudio, tokencount, toxicity, urlfilter
+from tidewake.llm import decontaminate, jaccard, licenses, mixing, mpegaudio, tokencount, tokenfiles, toxicity, urlfilter
 from tidewake.llm.tables import table
 
 
@@ -32,6 +32,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("segments"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegaudio.digest_column(mpegaudio.encode_column(table(spark, sf_dir, "documents")))
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
+    "op7_token_files": op7_token_files,
     "op8_media_column": op8_media_column,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
