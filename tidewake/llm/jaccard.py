@@ -30,8 +30,13 @@ from tidewake.llm.workspace import Workspace
 
 FREQUENT_FROM = 16
 FREQUENT_MOST = 1_000_000
-#: Cross-component pairs per posting row at which the pivots' rounds end.
-PAIRS_PER_ROW = 8
+#: Tokens of a set that are counted, as a multiple of its prefix; and the share of frequent ones
+#: among them from which all tokens of the set are counted.
+ZONE = 1.3
+DOMINATED = 0.2
+#: Cross-component pairs per posting row that are compared by size and reach without pivots: at
+#: first, and once pivots have linked what is alike.
+PAIRS_PER_ROW = (8, 400)
 #: Document keys broadcast at most when the texts of candidates are fetched (8 bytes each).
 BROADCAST_KEYS = 400_000
 
@@ -87,13 +92,14 @@ class JaccardJoin:
                 sets = list(_sets(batch, words))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 prints = pa.array([_fingerprint(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, prints, _lists([s[: _prefix(len(s), percent)] for s in sets])], ["k", "n", "fp", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, prints, _lists([s[: int(ZONE * _prefix(len(s), percent)) + 2] for s in sets])], ["k", "n", "fp", "tokens"])
 
         return self.docs.mapInArrow(scan, "k long, n long, fp long, tokens array<long>")
 
-    def _frequent(self, nodes: DataFrame) -> np.ndarray:
-        counted = nodes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
-        counted = self.work.save(counted, "frequent")
+    def _counted(self, tokens: DataFrame, name: str) -> np.ndarray:
+        """The most frequent of exploded tokens, at most FREQUENT_MOST of them, sorted."""
+        counted = tokens.groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
+        counted = self.work.save(counted, name)
         by_power = counted.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
         least, total = FREQUENT_FROM, 0
         for row in by_power:
@@ -104,6 +110,40 @@ class JaccardJoin:
         chosen = counted.filter(F.col("count") >= least).select("token").toArrow()
         return np.sort(chosen.column(0).to_numpy().view(np.uint64))
 
+    def _frequent(self, nodes: DataFrame) -> np.ndarray:
+        """Frequent tokens: counted near all sets' prefixes, then over all of the sets that these dominate."""
+        near = self._counted(nodes.select(F.explode("tokens").alias("token")), "frequent-near")
+        shared = self.spark.sparkContext.broadcast(near)
+
+        def dominated(batches):
+            for batch in batches:
+                lists = batch.column(1)
+                ends = lists.offsets.to_numpy()
+                flat = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+                heavy = shared.value
+                hit = heavy[np.minimum(np.searchsorted(heavy, flat), len(heavy) - 1)] == flat if len(heavy) else np.zeros(len(flat), bool)
+                sums = np.concatenate(([0], np.cumsum(hit)))[ends - ends[0]]
+                share = np.diff(sums) / np.maximum(np.diff(ends), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(share > DOMINATED))], ["k"])
+
+        keys = self.work.save(nodes.select("k", "tokens").mapInArrow(dominated, "k long").distinct(), "dominated")
+        sets = self._whole_sets(keys)
+        far = self._counted(sets.select(F.explode("tokens").alias("token")), "frequent-far")
+        return np.unique(np.concatenate((near, far)))
+
+    def _whole_sets(self, keys: DataFrame) -> DataFrame:
+        """(fp, n, tokens): the sets of the documents with these keys, each set once."""
+        small = keys.count() <= BROADCAST_KEYS
+        texts = self.docs.join(F.broadcast(keys) if small else keys, "k", "left_semi")
+        words = self.words
+
+        def full(batches):
+            for batch in batches:
+                sets = list(_sets(batch, words))
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["fp", "n", "tokens"])
+
+        return texts.mapInArrow(full, "fp long, n long, tokens array<long>").groupBy("fp", "n").agg(F.first("tokens").alias("tokens"))
+
     def _signatures(self, frequent: np.ndarray) -> DataFrame:
         """(n, fp, rare, signs): per document its signatures, the first ``rare`` of them single tokens."""
         words, percent = self.words, self.percent
@@ -154,16 +194,7 @@ class JaccardJoin:
         if known is not None:
             wanted = wanted.join(known.select("fp"), "fp", "left_anti")
         keys = self.work.save(nodes.join(wanted, "fp", "left_semi").select("k").distinct(), f"{name}-keys")
-        small = keys.count() <= BROADCAST_KEYS
-        texts = self.docs.join(F.broadcast(keys) if small else keys, "k", "left_semi")
-        words = self.words
-
-        def full(batches):
-            for batch in batches:
-                sets = list(_sets(batch, words))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["fp", "n", "tokens"])
-
-        found = texts.mapInArrow(full, "fp long, n long, tokens array<long>").groupBy("fp", "n").agg(F.first("tokens").alias("tokens"))
+        found = self._whole_sets(keys)
         found = self.work.save(found, name)
         return found if known is None else known.union(found)
 
@@ -178,9 +209,9 @@ class JaccardJoin:
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(k, n, fp) of all documents; (fp, k) of nodes with the least key; (node, component) of linked nodes."""
         scanned = self.work.save(self._scan(), "scanned")
-        grouped = scanned.filter("k IS NOT NULL AND n > 0").groupBy("fp", "n")
-        frequent = self._frequent(grouped.agg(F.first("tokens").alias("tokens")))
-        nodes = self.work.save(grouped.agg(F.min("k").alias("k")), "nodes")
+        grouped = scanned.filter("k IS NOT NULL AND n > 0").groupBy("fp", "n").agg(F.min("k").alias("k"), F.first("tokens").alias("tokens"))
+        nodes = self.work.save(grouped, "nodes")
+        frequent = self._frequent(nodes)
         rows = self._postings(self._signatures(frequent)).withColumn("component", F.col("fp"))
         done = sets = components = None
         for k in range(10_000):
@@ -196,7 +227,7 @@ class JaccardJoin:
             self.rounds.append({"rows": int(total), "pairs": int(left)})
             if not left:
                 break
-            last = left <= PAIRS_PER_ROW * total
+            last = left <= PAIRS_PER_ROW[k > 0] * total
             if last:
                 x, y = rows.filter("component != major").alias("x"), rows.alias("y")
                 met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y")).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
@@ -234,3 +265,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = scanned.join(named, ["fp", "n"], "left")
     alone = F.when(F.col("n") == 0, F.col("k")).otherwise(F.when(F.col("k").isNotNull(), F.col("component_id")))
     return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """docs without the rows that another one stands for: of each linked group the least key stays.
+
+    Rows without words, and rows with a null key, stay.  Of repeated rows (equal key and text) one
+    stays.  The rejected keys are broadcast only where they are few.
+    """
+    found = jaccard_components(docs, key, text, words, percent)
+    work = Workspace(docs.sparkSession, "one-of-each")
+    found = work.save(found.groupBy(key).agg(F.max(F.col("component_id") != F.col(key)).alias("drop"), F.count("*").alias("rows")).filter(F.col(key).isNotNull() & (F.col("drop") | (F.col("rows") > 1))), "found")
+    small = found.count() <= BROADCAST_KEYS
+    dropped, repeated = found.filter("drop").select(key), found.filter("NOT drop").select(key)
+    kept = docs.join(F.broadcast(dropped) if small else dropped, key, "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    side = F.broadcast(repeated) if small else repeated
+    once = kept.join(side, key, "left_semi").dropDuplicates([key, text])
+    return kept.join(side, key, "left_anti").unionByName(once).select(docs.columns)

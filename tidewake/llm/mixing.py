@@ -44,7 +44,10 @@ def source_targets(sources: DataFrame) -> DataFrame:
     everything = W.partitionBy(F.lit(0))
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     leveled = capped.withColumn("own_level", level).withColumn("fits", F.col("own_level") * F.col("weight") <= F.col("cap"))
-    return leveled.withColumn("level", F.min(F.when(F.col("fits"), F.col("own_level"))).over(everything)).select(
+    # The first source, in that order, that the level of those from it on does not overfill.
+    ordered = leveled.withColumn("ratio", F.col("cap") / F.col("weight"))
+    first = F.min(F.when(F.col("fits"), F.struct("ratio", "rank", "own_level"))).over(everything)
+    return ordered.withColumn("level", first["own_level"]).select(
         "source", "source_size", "weight", F.sum("source_size").over(everything).alias("budget"), F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.lit(0.0)).alias("target")
     )
 

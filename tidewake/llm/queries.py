@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontaminate, jaccard, licenses, mixing, mpegaudio, tokencount, tokenfiles, toxicity, urlfilter
+from tidewake.llm import decontaminate, jaccard, licenses, mixing, mpegaudio, quality, tokencount, tokenfiles, toxicity, urlfilter
 from tidewake.llm.tables import table
+from tidewake.llm.workspace import Workspace
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows' labels are unknown here; their texts stay among the unlabelled ones that are scored, not fitted on."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    featured = Workspace(spark, "quality").save(quality.feature_table(table(spark, sf_dir, "documents"), ("doc_id",)), "features")
+    labels = learned_rows(table(spark, sf_dir, "labels"), 4, 2)
+    net, _ = quality.fit(featured.filter(~held), labels.filter("quality = 1"))
+    scored = quality.score_table(featured, net, ("doc_id",))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,7 +64,7 @@ sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number(
 capped AS (SELECT *, CAST(r % 3 + 1 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS cap FROM sources),
 leveled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own_level FROM capped),
-targets AS (SELECT source, source_size, least(cap, weight * min(own_level) FILTER (own_level * weight <= cap) OVER ()) AS target,
+targets AS (SELECT source, source_size, least(cap, weight * (SELECT own_level FROM leveled WHERE own_level * weight <= cap ORDER BY cap / weight, r LIMIT 1)) AS target,
   CAST(sum(source_size) OVER () AS BIGINT) AS budget FROM leveled),
 placed AS (SELECT s.*, t.source_size, t.target, t.budget,
   sum(size) OVER (PARTITION BY s.source ORDER BY dice, key, size ROWS UNBOUNDED PRECEDING) AS tokens
@@ -75,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, learned_rows(table(spark, sf_dir, "labels"), 3, 1))
     scored = toxicity.score_texts(docs, model)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 OP5_SQL = """
@@ -103,6 +114,7 @@ SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM s
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_url_filter": op5_url_filter,

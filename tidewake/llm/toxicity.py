@@ -285,7 +285,8 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
     Null keys, ties and repeated rows stay, one row each; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    slim = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))
+    place = list(keep).index(text) if text in keep else len(keep)
     schema = T.StructType([slim.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
         for batch in batches:
             scores = []
             for at in range(0, batch.num_rows, 256):
-                part = batch.column(len(keep)).slice(at, 256)
+                part = batch.column(place).slice(at, 256)
                 scores.append(shared.value.of_text(*reader.read(list(textcore.text_bytes(part)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores) if scores else np.empty(0))], [*keep, "score"])
 
