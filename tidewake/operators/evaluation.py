@@ -37,7 +37,8 @@ def curve(truth: DataFrame, judged: DataFrame) -> DataFrame:
 def average_precision(points: DataFrame) -> DataFrame:
     """AP per class: recall steps times the precision envelope."""
     order = W.partitionBy("cls").orderBy("rank")
-    envelope = F.max("prec").over(order.rowsBetween(0, W.unboundedFollowing))
+    # The maximum from a rank on, run from the last rank back: linear, unlike a frame that looks ahead.
+    envelope = F.max("prec").over(W.partitionBy("cls").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0))
     step = F.col("rec") - F.coalesce(F.lag("rec").over(order), F.lit(0.0))
     return points.select("cls", (step * envelope).alias("part")).groupBy("cls").agg(F.sum("part").alias("ap"))
 

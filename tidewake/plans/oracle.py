@@ -96,7 +96,7 @@ SELECT frame, k.det AS det, round(k.score, 4) AS score FROM out_""",
     "mot_detection_rows": WITH_BOXES + f" SELECT frame + 1 AS frame, det, 0 AS id, {MOT} FROM boxes",
     "mot_tracking_rows": WITH_BOXES + f", s AS (SELECT frame, det, x1 - 40 AS x1, y1 - 30 AS y1, x2, y2 FROM boxes WHERE det % 2 = 1) SELECT frame + 1 AS frame, det AS id, {MOT} FROM s",
     "mot_fusion_rows": MATCHES + f" SELECT b.frame + 1 AS frame, b.det AS track_id, m.mmsi AS id, {MOT} FROM boxes b JOIN matches m ON b.frame = m.frame AND b.det = m.track_id",
-    "fused_left_outer": MATCHES + " SELECT b.frame, b.det AS track_id, m.mmsi, b.x1 FROM boxes b LEFT JOIN matches m ON b.frame = m.frame AND b.det = m.track_id",
+    "fused_left_outer": MATCHES + " SELECT b.frame, b.det AS track_id, CAST(coalesce(m.mmsi, 0) AS BIGINT) AS mmsi, b.x1 FROM boxes b LEFT JOIN matches m ON b.frame = m.frame AND b.det = m.track_id",
     "ignore_labels": WITH_BOXES + " SELECT CAST(det % 7 AS INTEGER) AS label, count(*) AS n FROM boxes WHERE det % 7 IN (1, 3) GROUP BY det % 7",
     "speed_vector": POINTS + ", o AS (SELECT *, arg_min({'t': tick, 'x': x, 'y': y}, tick) OVER (PARTITION BY id ORDER BY tick RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS old FROM points) SELECT id, tick, round(coalesce((x - old.x) / (tick - old.t), 0), 4) AS vx, round(coalesce((y - old.y) / (tick - old.t), 0), 4) AS vy FROM o",
     "displacement_lag12": POINTS + " SELECT p.id, p.tick, a.x - b.x AS dx, a.y - b.y AS dy FROM points p JOIN points a ON a.id = p.id AND a.tick = p.tick - 1 JOIN points b ON b.id = p.id AND b.tick = p.tick - 2",
@@ -106,7 +106,7 @@ SELECT frame, k.det AS det, round(k.score, 4) AS score FROM out_""",
     "trajectory_halve": WAYS + ", i AS (SELECT *, unnest(range(0, n // 2)) AS i FROM ways) SELECT id, CAST(i AS INTEGER) AS i, (xs[2 * i + 1] + xs[2 * i + 2]) / 2e0 AS x, (ys[2 * i + 1] + ys[2 * i + 2]) / 2e0 AS y FROM i",
     "heading_angle": PAIRS + " SELECT track_id, mmsi, round(angle, 6) AS angle FROM angled",
     "pair_gate": PAIRS + " SELECT track_id, mmsi, round(end_distance, 4) AS end_distance FROM angled WHERE end_distance < 540 AND angle < 5e0 / 6 * pi()",
-    "pair_cost_case": """WITH pairs AS (SELECT o_custkey % 40 AS track_id, o_orderkey % 30 AS mmsi, round(avg(o_totalprice), 2) AS score FROM orders GROUP BY ALL),
+    "pair_cost_case": """WITH pairs AS (SELECT o_custkey % 40 AS track_id, o_orderkey % 30 AS mmsi, max(o_totalprice) AS score FROM orders GROUP BY ALL),
 held AS (SELECT track_id, mmsi, track_id % 9 AS n FROM pairs WHERE (track_id * 7 + mmsi) % 97 = 0 AND track_id % 9 > 3)
 SELECT p.track_id, p.mmsi, CASE WHEN h.n IS NOT NULL THEN -100e0 * h.n WHEN p.track_id IN (SELECT track_id FROM held) OR p.mmsi IN (SELECT mmsi FROM held) THEN 1e9 ELSE coalesce(score, 1e9) END AS cost FROM pairs p LEFT JOIN held h ON p.track_id = h.track_id AND p.mmsi = h.mmsi""",
     "nearest_within_gate": SEEN + " SELECT run_id, tick_ms, track_id, mmsi, round(d, 4) AS distance FROM near WHERE d <= 540 QUALIFY row_number() OVER (PARTITION BY run_id, tick_ms, track_id ORDER BY d, mmsi) = 1",

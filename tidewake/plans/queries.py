@@ -265,7 +265,7 @@ def mot_fusion_rows(spark, sf):
 @query
 def fused_left_outer(spark, sf):
     tracks = A.boxes(spark, sf).withColumnRenamed("det", "track_id")
-    return motion.fused_rows(tracks, _matches(spark, sf)).select("frame", "track_id", "mmsi", "x1")
+    return motion.fused_rows(tracks, _matches(spark, sf)).select("frame", "track_id", F.coalesce("mmsi", F.lit(0)).cast("long").alias("mmsi"), "x1")
 
 
 @query
@@ -342,7 +342,7 @@ def trajectory_score(spark, sf):
 @query
 def pair_cost_case(spark, sf):
     o = A.table(spark, sf, "orders")
-    pairs = o.groupBy((F.col("o_custkey") % 40).alias("track_id"), (F.col("o_orderkey") % 30).alias("mmsi")).agg(F.round(F.avg("o_totalprice"), 2).alias("score"))
+    pairs = o.groupBy((F.col("o_custkey") % 40).alias("track_id"), (F.col("o_orderkey") % 30).alias("mmsi")).agg(F.max("o_totalprice").alias("score"))
     bound = pairs.filter("(track_id * 7 + mmsi) % 97 = 0").select("track_id", "mmsi", (F.col("track_id") % 9).alias("matches"))
     return motion.pair_costs(pairs, bound)
 
