@@ -4,7 +4,8 @@ Everything is a built-in expression.  Texts are normalised (lower case, runs of
 and digits become one space) and cut into segments: lines, and the sentences of lines that hold
 more words than any template may match.  A segment is compared only with templates whose bigram
 count allows the coefficient: 2 min(a, b) / (a + b) >= least, so b lies between a * least /
-(2 - least) and a * (2 - least) / least; words outside all those bounds are never split.
+(2 - least) and a * (2 - least) / least; segments outside all those bounds, and
+those without a word that every match must hold, are dropped before their bigrams are made.
 """
 
 from __future__ import annotations
@@ -39,9 +40,23 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def anchor_words(grams: list[str], least_dice: float = LEAST_DICE) -> list[str]:
+    """Words of which every match of a template holds one.
+
+    A match shares at least dice / (2 - dice) of the template's bigrams; the longest words are
+    taken until the bigrams without any of them are fewer than that.
+    """
+    need, chosen = len(grams) * least_dice / (2 - least_dice), []
+    for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+        if sum(not set(g.split(" ")) & set(chosen) for g in grams) < need:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def normalised(text: Column) -> Column:
     """Lower case; runs of anything but letters and digits become one space."""
-    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def _bigrams(words: Column) -> Column:
@@ -74,7 +89,9 @@ def license_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     lines = _counted(lines)
     sentences = lines.filter(F.col("n") > high + 1).select("key", F.explode(F.split("segment", r"(?<=[.!?;:])\s+")).alias("segment"))
     segments = lines.union(_counted(sentences)).filter((F.col("n") >= low + 1) & (F.col("norm") != ""))
-    segments = segments.select("key", "segment", _computed(_bigrams(F.split("norm", " "))).alias("own"))
+    anchors = F.array(*map(F.lit, sorted({w for _, g in grams for w in anchor_words(g, least_dice)})))
+    segments = segments.select("key", "segment", _computed(F.split("norm", " ")).alias("words")).filter(F.arrays_overlap("words", anchors))
+    segments = segments.select("key", "segment", _computed(_bigrams(F.col("words"))).alias("own"))
     segments = segments.filter(F.size("own").between(low, high) & F.arrays_overlap("own", any_gram))
 
     def fits(t: Column) -> Column:

@@ -102,10 +102,10 @@ SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_ma
 OP6_SQL = """
 WITH templates AS (SELECT * FROM (VALUES %s) AS t(license, grams)),
 cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-sized AS (SELECT doc_id, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM cut),
+sized AS (SELECT doc_id, line, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM cut),
 longer AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS line FROM sized WHERE len(string_split(norm, ' ')) > (SELECT max(len(grams)) FROM templates) * 1.5 + 1),
 segments AS (SELECT doc_id, line, norm FROM sized UNION ALL
-  SELECT doc_id, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+', ' ', 'g')) FROM longer),
+  SELECT doc_id, line, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) FROM longer),
 words AS (SELECT DISTINCT doc_id, line, string_split(norm, ' ') AS w FROM segments WHERE norm <> ''),
 grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
 scored AS (SELECT doc_id, license, line, max(2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams))) AS dice FROM grams, templates WHERE len(g) BETWEEN 1 AND len(grams) * 3 GROUP BY ALL)
