@@ -35,7 +35,7 @@ FREQUENT_MOST = 1_000_000
 ZONE = 1.3
 DOMINATED = 0.2
 #: Cross-component pairs per posting row that are compared by size and reach without pivots: at
-#: first, and once pivots have linked what is alike.
+#: first, and the more the more rounds of pivots have linked what is alike.
 PAIRS_PER_ROW = (8, 400)
 #: Document keys broadcast at most when the texts of candidates are fetched (8 bytes each).
 BROADCAST_KEYS = 400_000
@@ -227,7 +227,7 @@ class JaccardJoin:
             self.rounds.append({"rows": int(total), "pairs": int(left)})
             if not left:
                 break
-            last = left <= PAIRS_PER_ROW[k > 0] * total
+            last = left <= PAIRS_PER_ROW[min(k, len(PAIRS_PER_ROW) - 1)] * total
             if last:
                 x, y = rows.filter("component != major").alias("x"), rows.alias("y")
                 met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y")).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
