@@ -36,7 +36,7 @@ ZONE = 1.3
 DOMINATED = 0.2
 #: Cross-component pairs per posting row that are compared by size and reach without pivots: at
 #: first, and the more the more rounds of pivots have linked what is alike.
-PAIRS_PER_ROW = (8, 400)
+PAIRS_PER_ROW = (1, 2, 4, 400)
 #: Document keys broadcast at most when the texts of candidates are fetched (8 bytes each).
 BROADCAST_KEYS = 400_000
 
