@@ -22,7 +22,7 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:*#$%&|]+)")
 #: Pieces up to this many characters are kept in the memo, longer ones are encoded when they come.
 MEMO_CHARS = 64
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 800_000
 BATCH_BYTES = 1 << 18
 #: Characters of a text that are cut into pieces at once.
 CHUNK_CHARS = 1 << 20

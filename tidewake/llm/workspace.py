@@ -17,11 +17,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the socket.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """A folder of intermediate Parquet tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
