@@ -210,8 +210,12 @@ class JaccardJoin:
         """(k, n, fp) of all documents; (fp, k) of nodes with the least key; (node, component) of linked nodes."""
         scanned = self.work.save(self._scan(), "scanned")
         grouped = scanned.filter("k IS NOT NULL AND n > 0").groupBy("fp", "n").agg(F.min("k").alias("k"), F.first("tokens").alias("tokens"))
-        nodes = self.work.save(grouped, "nodes")
+        nodes = self.work.save(grouped, "nodes-with-tokens")
+        scanned = self.work.save(scanned.select("k", "n", "fp"), "documents")
+        self.work.drop("scanned")
         frequent = self._frequent(nodes)
+        nodes = self.work.save(nodes.select("fp", "n", "k"), "nodes")
+        self.work.drop("nodes-with-tokens")
         rows = self._postings(self._signatures(frequent)).withColumn("component", F.col("fp"))
         done = sets = components = None
         for k in range(10_000):
@@ -247,7 +251,7 @@ class JaccardJoin:
         if components is None:
             components = self.spark.createDataFrame([], "node long, component long")
         self.links = done
-        return scanned.select("k", "n", "fp"), nodes, components
+        return scanned, nodes, components
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
