@@ -53,6 +53,18 @@ def safe_chunks(text: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[str, bool
     yield text[at:], cut
 
 
+#: Words whose letters no normalizer here changes but for case.
+PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+PROBES = ("word", "Word", "ABSURD", "naïve", "ÉTÉ", "Übermaß", "ñandú", "internationalization", "q", "ÿ")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the rest is numbered from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Encodes texts piece by piece; ``lengths_only`` keeps no ids."""
 
@@ -64,8 +76,44 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.lengths_only = lengths_only
+        self.direct = self._direct_way()
         self.memo: dict = {}  # clean pieces that follow a space, kept without it
 
+    def _direct_way(self):
+        """How the library's own model takes " word" for a plain word, or None where no way gives the ids.
+
+        The model skips building a whole encoding per piece.  Ways differ in case folding and in how
+        the space is marked; one is taken only if it gives the tokenizer's ids for all probes.
+        """
+        letters = byte_letters()
+        whole = [x.ids for x in self.tokenizer.encode_batch([" " + p for p in PROBES], add_special_tokens=False)]
+        for fold in (False, True):
+            for mark in ("", letters[32]):
+
+                def spelled(word: str, fold: bool = fold, mark: str = mark) -> str:
+                    return mark + "".join(letters[b] for b in (word.lower() if fold else word).encode())
+
+                try:
+                    if [[t.id for t in self.tokenizer.model.tokenize(spelled(p))] for p in PROBES] == whole:
+                        return spelled
+                except Exception:  # a model that does not know a letter raises: this is not its way
+                    continue
+        return None
+
+    def _encode_words(self, words: set[str]) -> dict:
+        """Values of pieces that follow a space."""
+        values, rest = {}, []
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            if self.direct is None or not PLAIN.fullmatch(w):
+                rest.append(w)
+            elif self.lengths_only:
+                values[w] = len(tokenize(self.direct(w)))
+            else:
+                values[w] = np.array([t.id for t in tokenize(self.direct(w))], "<u4").tobytes()
+        values.update(zip(rest, self._encode([" " + w for w in rest])))
+        return values
+
     def _encode(self, pieces: Iterable[str]) -> list:
         out = []
         for batch in balanced_batches(pieces):
@@ -98,7 +146,7 @@ class PieceEncoder:
             stem = found[1] if found else p
             if stem not in memo:
                 stems.add(stem)
-        values = dict(zip(stems, self._encode([" " + p for p in stems])))
+        values = self._encode_words(stems)
         ends = dict(zip(tails, self._encode(tails)))
         for p, (stem, tail) in split.items():
             values[p] = (values[stem] if stem in values else memo[stem]) + ends[tail]
