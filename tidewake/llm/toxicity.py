@@ -27,6 +27,8 @@ ORDER = 3
 DECAY = 0.6
 #: Letters of an instance at most; longer words are read in windows of so many.
 WINDOW = 20
+#: Lengths at which every stretch of a run of single letters is read as a word.
+SPELLED = (4, 5, 6, 8, 10)
 #: Bounds of the labelled sample that is fitted: toxic and other texts, and words of either kind.
 TOXIC_TEXTS = 1500
 OTHER_TEXTS = 3000
@@ -134,7 +136,7 @@ class Reader:
             for a, b in zip(run[::2], run[1::2]):
                 if b - a >= ORDER + 1:
                     together = letters(bytes(data[s[a] : e[b - 1]]).decode("utf-8", "ignore"))
-                    spelled.setdefault(len(hashes) - 1, set()).update(together[k : k + WINDOW] for k in range(0, max(1, len(together) - WINDOW // 2), WINDOW // 2))
+                    spelled.setdefault(len(hashes) - 1, set()).update(together[k : k + n] for n in SPELLED for k in range(max(1, len(together) - n + 1)))
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         ends = np.cumsum([0] + [len(h) for h in hashes])
         unique, at, back = np.unique(flat, return_index=True, return_inverse=True)
