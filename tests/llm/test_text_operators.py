@@ -47,6 +47,25 @@ def test_leaks_whole_edited_and_none(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_edited_often_equal_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, n) + ["the", "of", "the"])) for i, n in enumerate([6, 14, 27, 27, 40, 40, 55])]
+    docs = []
+    for i, t in items:
+        for share in (0.2, 0.25, 0.3, 0.35):
+            w = [rng.choice(["the", "zz", "of"]) if rng.random() < share else x for x in t.split()]
+            docs.append(" ".join(words(rng, 60) + w + words(rng, 60)))
+        w = t.split()
+        docs += [" ".join(x if k % 4 else "zzz" for k, x in enumerate(w)), " ".join(x if k % 3 else "zzz" for k, x in enumerate(w)), " yy ".join(w), " ".join(rng.sample(w, len(w)))]
+    docs.append(items[2][1] + " the of " + items[2][1])
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(d, b).collect()}
+    want = {(k, i): smith_waterman(t.split(), x.split()) / len(t.split()) for k, x in enumerate(docs) for i, t in items}
+    want = {k: v for k, v in want.items() if v >= 0.5 - 1e-12}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 30
+
+
 def test_license_scan(spark):
     texts = [(1, "x y\nReleased under the MIT License.\nfoo"), (2, "This work is licensed under the GNU General Public License version 3"), (3, "nothing here at all"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "x y\nReleased under the MIT License.\nfoo"), (6, " ".join(["filler"] * 200) + ". Released under the MIT License. " + " ".join(["filler"] * 200))]
     df = spark.createDataFrame([(k, t, "c") for k, t in texts], "doc_id long, text string, license string")

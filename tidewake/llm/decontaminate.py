@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: exact bounds find passages, Smith-Waterman alignment scores them.
 
 Test items are taken in blocks of bounded size, each a table that every task holds while it reads
-all documents.  A first pass counts in how many documents each n-gram of an item occurs; the rarer
-part of an item's n-grams are its seeds (a share, not an absolute count: the n-grams of an item
-that leaked into a third of all documents are still the rarest it has).  A second pass aligns an
-item with the stretch of words around its seeds and keeps alignments of a sufficient score.
+all documents.  A score of ``LEAST_SCORE`` takes that many words of the item, in a stretch of the
+text whose length is bounded since every further word of it costs.  So an item is aligned with a text
+wherever a window of that length shares words enough with it, each as often as the item has it;
+no passage of a sufficient score is passed over, however it was edited.
 """
 
 from __future__ import annotations
@@ -20,16 +20,14 @@ from pyspark.sql import types as T
 
 from tidewake.llm import textcore
 
-NGRAM = 3
-#: Share of an item's n-grams, the rarest, that are its seeds; and seeds that must meet.
-SEED_SHARE = 0.6
-LEAST_SEEDS = 2
 MATCH, MISMATCH, GAP = 1.0, -0.4, -0.4
 #: An alignment counts from this part of the score of the whole item copied.
 LEAST_SCORE = 0.5
 #: Bytes of items in a block at most (as far as single items allow).
 BLOCK_BYTES = 8 << 20
 MEMO = 50_000
+#: Cells of a table of items by places at most (as far as single texts allow).
+CELLS = 1 << 21
 
 
 def words_of(data: np.ndarray) -> np.ndarray:
@@ -67,90 +65,112 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best, begin, end
 
 
+def longest_stretch(n: int) -> int:
+    """Words of text that an alignment of sufficient score with an item of n words spans at most."""
+    return int(n + n * MATCH * (1 - LEAST_SCORE) / -max(MISMATCH, GAP) + 1e-9)
+
+
 @dataclass
 class Items:
-    """One block of test items: their words, and their n-grams by hash."""
+    """One block of test items: their words, and which items hold each word how often."""
 
     ids: list[int]
     words: list[np.ndarray]
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    owners: list[list[tuple[int, int]]] = field(default_factory=list)
-    least: list[int] = field(default_factory=list)
-
-    @staticmethod
-    def grams(words: np.ndarray) -> np.ndarray:
-        return textcore.ngram_hashes(words, min(NGRAM, len(words))) if len(words) else np.empty(0, np.uint64)
-
-    def index(self, frequency: dict[int, int] | None) -> Items:
-        """Key the block by its n-grams: all of them, or the rarer ones by document frequency."""
-        by: dict[int, list[tuple[int, int]]] = {}
-        self.least = []
-        for i, words in enumerate(self.words):
-            grams = self.grams(words)
-            if frequency is not None and len(grams) > 4:
-                count = np.array([frequency.get(int(g), 0) for g in grams])
-                rarest = np.sort(np.lexsort((np.arange(len(grams)), count))[: max(4, int(np.ceil(SEED_SHARE * len(grams))))])
-            else:
-                rarest = np.arange(len(grams))
-            self.least.append(min(LEAST_SEEDS, max(1, len(rarest) // 2)))
-            for at in rarest:
-                by.setdefault(int(grams[at]), []).append((i, int(at)))
-        self.keys = np.array(sorted(by), np.uint64)
-        self.owners = [by[int(k)] for k in self.keys]
+
+    def index(self) -> Items:
+        """Key the block by its words: the items that hold keys[k] are owners[at[k] : at[k + 1]], so often each."""
+        owner = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+        self.keys, key = np.unique(np.concatenate(self.words), return_inverse=True)
+        pairs, self.often = np.unique(key.astype(np.int64) * len(self.words) + owner, return_counts=True)
+        self.owners = pairs % len(self.words)
+        self.at = np.searchsorted(pairs // len(self.words), np.arange(len(self.keys) + 1))
+        by_item = np.argsort(self.owners, kind="stable")
+        edges = np.searchsorted(self.owners[by_item], np.arange(len(self.words) + 1))
+        self.own = [(pairs[by_item[a:b]] // len(self.words), self.often[by_item[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
+        self.need = np.array([LEAST_SCORE * len(w) - 1e-9 for w in self.words])
+        self.width = np.array([longest_stretch(len(w)) for w in self.words])
+        self.masks = []
+        for words in self.words:
+            mask: dict[int, int] = {}
+            for k, word in enumerate(words.tolist()):
+                mask[word] = mask.get(word, 0) | 1 << k
+            self.masks.append(mask)
         self.quick = np.zeros(1 << 20, bool)
         self.quick[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.short = sorted({min(NGRAM, len(w)) for w in self.words if len(w)})
         return self
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text's words and the keys that begin there."""
-        at, key = [], []
-        for n in self.short:
-            grams = textcore.ngram_hashes(words, n)
-            maybe = np.flatnonzero(self.quick[(grams >> np.uint64(44)).astype(np.int64)])
-            if len(maybe):
-                place = np.searchsorted(self.keys, grams[maybe])
-                sure = self.keys[np.minimum(place, len(self.keys) - 1)] == grams[maybe]
-                at.append(maybe[sure])
-                key.append(place[sure])
-        return (np.concatenate(at), np.concatenate(key)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
+        """Places in a text's words that hold a word of some item, and its key's number."""
+        maybe = np.flatnonzero(self.quick[(words >> np.uint64(44)).astype(np.int64)])
+        key = np.searchsorted(self.keys, words[maybe])
+        sure = self.keys[np.minimum(key, len(self.keys) - 1)] == words[maybe]
+        return maybe[sure], key[sure]
+
+    def candidates(self, key: np.ndarray) -> np.ndarray:
+        """Items of whose words a text with these keys holds enough."""
+        seen = np.unique(key)
+        sizes = self.at[seen + 1] - self.at[seen]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return ends
+        pick = np.arange(ends[-1]) + np.repeat(self.at[seen] - (ends - sizes), sizes)
+        return np.flatnonzero(np.bincount(self.owners[pick], self.often[pick], len(self.words)) >= self.need)
+
+    def stretches(self, items: np.ndarray, n: int, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) where in a text of n words windows lie that share enough words with an item."""
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        times = np.zeros(len(self.keys), np.int64)
+        step = max(1, CELLS // (n + 1))
+        for few in (items[k : k + step] for k in range(0, len(items), step)):
+            table = np.empty((len(few), len(key)), np.int64)
+            for row, item in zip(table, few.tolist()):
+                own, often = self.own[item]
+                times[own] = often
+                row[:] = times[key]
+                times[own] = 0
+            line, hit = np.nonzero(table)
+            place, word = at[hit], key[hit]
+            # A place counts in the windows that start after the place where its word's turn, that many back, stands.
+            back = np.arange(len(line)) - table[line, hit]
+            same = (back >= 0) & (word[back] == word) & (line[back] == line)
+            first = np.maximum(np.maximum(np.where(same, place[back] + 1, 0), place - self.width[few][line] + 1), 0)
+            base, cells = line * (n + 1), len(few) * (n + 1)
+            shared = np.cumsum(np.bincount(base + first, minlength=cells) - np.bincount(base + place + 1, minlength=cells)).reshape(len(few), n + 1)
+            for k in np.flatnonzero(shared.max(axis=1) >= self.need[few]).tolist():
+                item, width = int(few[k]), int(self.width[few[k]])
+                starts = np.flatnonzero(shared[k] >= self.need[item])
+                for s in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
+                    yield item, int(s[0]), min(n, int(s[-1]) + width)
+
+    def in_order(self, item: int, window: np.ndarray) -> int:
+        """Words that an item and a stretch of text have in common in the same order, at most (bits of a row of the table at once)."""
+        masks = self.masks[item]
+        free = full = (1 << len(self.words[item])) - 1
+        for word in window.tolist():
+            if word in masks:
+                both = free & masks[word]
+                free = ((free + both) | (free - both)) & full
+        return len(self.words[item]) - free.bit_count()
 
     def matches(self, words: np.ndarray, memo: dict) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, number of words) of the items that the text holds, each at its best place."""
         at, key = self.hits(words)
-        if not len(at):
-            return []
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for a, k in zip(at.tolist(), key.tolist()):
-            for item, inside in self.owners[k]:
-                by_item.setdefault(item, []).append((a - inside, inside))
-        found = []
-        for item, places in by_item.items():
-            target = self.words[item]
-            room = max(4, len(target) // 2)
-            places.sort()
-            best = None
-            group: list[tuple[int, int]] = []
-            for place in [*places, None]:
-                if group and (place is None or place[0] - group[-1][0] > room):
-                    if len({inside for _, inside in group}) >= self.least[item]:
-                        lo, hi = max(0, group[0][0] - room), min(len(words), group[-1][0] + len(target) + room)
-                        window = words[lo:hi]
-                        name = (item, window.tobytes())
-                        if name not in memo:
-                            if len(memo) > MEMO:
-                                memo.clear()
-                            memo[name] = align(target, window)
-                        score, begin, end = memo[name]
-                        score /= MATCH * len(target)
-                        if score >= LEAST_SCORE and (best is None or score > best[1]):
-                            best = (item, score, lo + begin, end - begin)
-                    group = []
-                if place is not None:
-                    group.append(place)
-            if best:
-                found.append(best)
-        return found
+        items = self.candidates(key)
+        best: dict[int, tuple[int, float, int, int]] = {}
+        for item, lo, hi in self.stretches(items, len(words), at, key) if len(items) else ():
+            target, window = self.words[item], words[lo:hi]
+            name = (item, window.tobytes())
+            if name not in memo:
+                if len(memo) > MEMO:
+                    memo.clear()
+                memo[name] = align(target, window) if self.in_order(item, window) >= self.need[item] else (0.0, 0, 0)
+            score, begin, end = memo[name]
+            score /= MATCH * len(target)
+            if score >= LEAST_SCORE and (item not in best or score > best[item][1]):
+                best[item] = (item, score, lo + begin, end - begin)
+        return list(best.values())
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
@@ -166,23 +186,6 @@ def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
             yield Items([rows[k]["i"] for k in keep], [words[k] for k in keep])
 
 
-def _indexed(docs: DataFrame, items: Items, text: str) -> Items:
-    """items keyed by their seeds: n-grams counted over all documents first."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.index(None))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        total = np.zeros(len(block.keys), np.int64)
-        for batch in batches:
-            for data in textcore.text_bytes(batch.column(0)):
-                total[np.unique(block.hits(words_of(data))[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["key", "n"])
-
-    counts = docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    return items.index({int(items.keys[r["key"]]): r["n"] for r in counts})
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, score, first_word, n_words): the test items that documents hold, each at its best place.
 
@@ -195,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([slim.schema["k"], T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     found = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark, item_key, item_text):
-        shared = spark.sparkContext.broadcast(_indexed(slim, items, "t"))
+        shared = spark.sparkContext.broadcast(items.index())
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, memo = shared.value, {}
@@ -220,7 +223,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     """The rows of docs that hold no test item, with all their columns; rows pass straight through, none is dealt out."""
     spark, place = docs.sparkSession, docs.columns.index(text)
     for items in item_blocks(benchmark, item_key, item_text):
-        shared = spark.sparkContext.broadcast(_indexed(docs, items, text))
+        shared = spark.sparkContext.broadcast(items.index())
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, memo = shared.value, {}
