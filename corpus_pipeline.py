@@ -18,6 +18,8 @@ from tidewake.llm.workspace import Workspace
 
 #: Texts of at least this toxicity score go.
 TOXIC_FROM = 0.7
+#: Words of a shingle, and the similarity in percent from which texts are near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links join stays: the least doc_id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

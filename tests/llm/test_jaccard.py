@@ -62,3 +62,33 @@ def test_odd_tables(spark):
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
+
+
+def near_by_hand(rows, n=5, percent=80):
+    """Keys that a pairwise comparison of all texts leaves: the least of each group of links."""
+    sets = []
+    for k, t in rows:
+        w = (t or "").lower().split()
+        sets.append((k, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()))
+    root = {k: k for k, _ in rows}
+    for _ in rows:
+        before = dict(root)
+        for i, (a, s) in enumerate(sets):
+            for b, t in sets[:i]:
+                if s and t and 100 * len(s & t) >= percent * len(s | t):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return sorted(k for k, r in root.items() if k == r)
+
+
+def test_pipeline_stage_joins_at_five_words_and_eighty_percent(spark, monkeypatch):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    near = [("x" + w if i in (30, 60) else w) for i, w in enumerate(base)]
+    rows = [(9001, " ".join(base)), (9002, " ".join(near)), *corpus(7, 150)]
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == near_by_hand(rows) and 9001 in got and 9002 not in got
