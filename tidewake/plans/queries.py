@@ -232,10 +232,10 @@ def iou_tracker(spark, sf):
 @query
 def appearance_tracker(spark, sf):
     """The appearance tracker over short runs of jittered boxes, one-hot features by line."""
-    b = A.boxes(spark, sf).filter("det <= 3")
+    b = A.boxes(spark, sf).withColumn("lines", F.max("det").over(W.partitionBy("frame")))
     steps = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    moved = b.filter("frame <= 400").select(F.col("frame").alias("run_id"), "det", "x1", "y1", "x2", "y2", steps.alias("t"))
-    feature = F.array(*[F.when(F.col("det") == i, 1.0).otherwise(0.05) for i in (1, 2, 3)])
+    moved = b.select(F.col("frame").alias("run_id"), "det", "x1", "y1", "x2", "y2", "lines", steps.alias("t"))
+    feature = F.transform(F.sequence(F.lit(1), F.greatest("lines", F.lit(3))), lambda i: F.when(F.col("det") == i, 1.0).otherwise(0.05))
     return hosting.track_appearances(moved.select("run_id", (F.col("t") * 1000).cast("long").alias("tick_ms"), "det", *[(F.col(c) + F.col("t") * 2).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0.9).alias("score"), feature.alias("feature")))
 
 
@@ -349,7 +349,7 @@ def pair_cost_case(spark, sf):
 
 @query
 def assignment_min_cost(spark, sf):
-    b = A.boxes(spark, sf).filter("frame <= 2000")
+    b = A.boxes(spark, sf)
     costs = b.alias("a").join(b.alias("b"), "frame").select((F.col("frame") * 0).alias("run_id"), F.col("frame").alias("tick_ms"), F.col("a.det").alias("i"), F.col("b.det").alias("j"), F.abs(F.col("a.x1") - F.col("b.y1")).alias("cost"))
     return hosting.assign(costs)
 
