@@ -72,3 +72,11 @@ def test_odd_tables(spark):
     got = mixing.mix(df).collect()
     assert len(got) == 4 and sum(r["size"] * r["rounds"] for r in got) <= 6
     assert mixing.mixed_documents(df).filter("text IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[("a", 50)], [("a", 1000), ("a", 1)], [("a", 1), ("a", 1000), ("b", 2)], [("a", 7), ("b", 7)]])
+def test_tables_that_one_document_dominates(spark, sizes):
+    rows = [(i, s, n) for i, (s, n) in enumerate(sizes)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    got = {r["key"]: r["rounds"] for r in mixing.mix(df).collect() if r["rounds"]}
+    assert got == mix_by_hand(rows)[0] and sum(n * got.get(i, 0) for i, _, n in rows) <= sum(n for *_, n in rows)

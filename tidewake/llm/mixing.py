@@ -84,18 +84,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = work.save(_placed(docs, key, text, source, seed), "placed")
     taking = (F.col("size") > 0) & (F.col("target") > 0)
     steps = F.array(*[F.floor(_due(r) * STEPS) for r in range(MOST_ROUNDS)])
-    dealt = placed.filter(taking).select("size", "budget", F.explode(steps).alias("step")).filter(F.col("step") <= STEPS + STEPS // 2)
-    sums = dealt.groupBy("step").agg(F.sum("size").alias("own"), F.max("budget").alias("budget"))
-    sums = sums.withColumn("used", F.sum("own").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)) - F.col("own"))
-    found = sums.filter(F.col("used") + F.col("own") > F.col("budget")).orderBy("step").limit(1).collect()
-    cut, used = (found[0]["step"], found[0]["used"]) if found else (STEPS * 4, 0)
-    # All rows of the steps before the cut fit; those of the step at the cut are summed in order.
+    dealt = placed.filter(taking).select("size", "budget", F.explode(steps).alias("step"))
+
+    def ending(rows: DataFrame) -> list:
+        sums = rows.groupBy("step").agg(F.sum("size").alias("own"), F.max("budget").alias("budget"))
+        sums = sums.withColumn("used", F.sum("own").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)) - F.col("own"))
+        return sums.filter(F.col("used") + F.col("own") > F.col("budget")).orderBy("step").limit(1).collect()
+
+    # The budget nearly always ends by the time that sources meet their targets; where one document dominates, in a later round.
+    found = ending(dealt.filter(F.col("step") <= STEPS + STEPS // 2)) or ending(dealt)
+    # Without a cut all rounds fit the budget.  Else all rows of the steps before the cut fit; those of the step at the cut are summed in order.
+    cut, used = (found[0]["step"], found[0]["used"]) if found else (None, 0)
     edge = placed.filter(taking).withColumn("round", F.explode(F.array(*[F.lit(r) for r in range(MOST_ROUNDS)])))
-    edge = edge.withColumn("due", (F.col("tokens") + F.col("round") * F.col("source_size")) / F.col("target")).filter(F.floor(F.col("due") * STEPS) == cut)
+    edge = edge.withColumn("due", (F.col("tokens") + F.col("round") * F.col("source_size")) / F.col("target")).filter(F.floor(F.col("due") * STEPS) == F.lit(cut).cast("long"))
     in_order = W.partitionBy(F.lit(0)).orderBy("due", F.col("source").asc_nulls_last(), "dice", "key", "size", "copy").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("sum", F.sum("size").over(in_order) + used).filter(F.col("sum") <= F.col("budget"))
     edge = edge.groupBy("key", "source", "size", "copy").agg(F.count("*").alias("more"))
-    sure = sum((F.floor(_due(r) * STEPS) < cut).cast("long") for r in range(MOST_ROUNDS))
+    sure = F.lit(MOST_ROUNDS).cast("long") if cut is None else sum((F.floor(_due(r) * STEPS) < cut).cast("long") for r in range(MOST_ROUNDS))
     whole = placed.withColumn("sure", F.when(taking, sure).otherwise(0))
     keys = ("key", "source", "size", "copy")
     both = whole.alias("a").join(edge.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
