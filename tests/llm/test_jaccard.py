@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidewake.llm import jaccard
+from tidewake.llm import jaccard, skew
 
 
 def shingles(text):
@@ -44,10 +44,11 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent,pairs", [(1, 16, (1, 2, 4, 400)), (2, 3, (0, 0, 1)), (3, 2, (0, 0, 0, 0, 4))])
-def test_components_equal_brute_force(spark, monkeypatch, seed, frequent, pairs):
+@pytest.mark.parametrize("seed,frequent,pivots,hot", [(1, 16, 1, 256), (2, 3, 0.1, 4), (3, 2, 0.02, 16)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, frequent, pivots, hot):
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", frequent)
-    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", pairs)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = corpus(seed, 220)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
@@ -92,3 +93,21 @@ def test_pipeline_stage_joins_at_five_words_and_eighty_percent(spark, monkeypatc
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == near_by_hand(rows) and 9001 in got and 9002 not in got
+
+
+def test_template_pages(spark):
+    """Pages of a common template and one of many passages: each posting of the template holds all of them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    template = [word() for _ in range(100)]
+    passages = [[word() for _ in range(100)] for _ in range(20)]
+    rows = []
+    for i in range(400):
+        own = list(passages[i % 20])
+        own[rng.randrange(100)] = word()
+        rows.append((i, " ".join(template + own + [word()])))
+    join = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, nodes, components = join.run()
+    assert len(join.rounds) <= 10
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(join.docs.toDF("doc_id", "text")).collect()}
+    assert got == {k: v[1] for k, v in brute(rows).items()}

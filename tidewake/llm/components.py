@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.llm.skew import salted_join
 from tidewake.llm.workspace import Workspace
 
 
-def _point_to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
+def _point_to_least(edges: DataFrame, larger_only: bool, work: Workspace, name: str) -> DataFrame:
     """Every node tells its neighbours (the larger, or the smaller and itself) its least neighbour.
 
-    Only a minimum per node is gathered, never a list of neighbours, so hubs combine map-side.
+    Only a minimum per node is gathered, never a list of neighbours, so hubs combine map-side; the
+    edges of a hub are told it over several tasks.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger_only else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    told = both.join(least, both["a"] == least["u"])
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    told = salted_join(both, least, "a", "b", work, name)
     if larger_only:
         found = told.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        found = told.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        found = told.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return found.filter(F.col("a") != F.col("b")).distinct()
 
 
@@ -36,8 +38,9 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "compone
         if seen == before:
             break
         before, k = seen, k + 1
-        starred = _point_to_least(now, larger_only=True)
-        now = work.save(_point_to_least(starred, larger_only=False), f"{name}-{k}")
+        starred = work.save(_point_to_least(now, True, work, f"{name}-large-{k}"), f"{name}-star-{k}")
+        now = work.save(_point_to_least(starred, False, work, f"{name}-small-{k}"), f"{name}-{k}")
         work.drop(f"{name}-{k - 1}")
+        work.drop(f"{name}-star-{k}")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()

@@ -1,18 +1,24 @@
 """Exact n-gram Jaccard join and its connected components, by token-combination prefixes.
 
 A document is its set of distinct word shingles (its tokens, 64-bit hashes).  Under one order of
-all tokens - the frequent ones last, else by hash - two sets of Jaccard >= t share a token among
-their first n - ceil(t n) + 1.  So rare tokens are indexed alone.  A set that runs out of rare
-tokens has its prefix extended over its frequent tokens, which are indexed in combinations of two
-neighbours (in that order): with M tokens missed on both sides, M <= 0.3 n for t = 0.85, the first
-0.3 n + 2 of them hold a neighbouring pair that both sets share.  Sets that are equal are one node.
-
-Which tokens count as frequent only steers the work: any choice gives the same links.  They are
-counted over all documents; at most FREQUENT_MOST of them are named, the most frequent ones.
-
-Postings are not expanded into pairs.  Each posting first links all to one pivot; links found are
-contracted, and only nodes of different components meet again.  This goes on, with another pivot
-in each round, until few enough cross-component pairs are left to verify each of them.
+all tokens - rare ones first, frequent ones by the class of their count, within a class by hash -
+two sets of Jaccard >= t share a token among their first n - ceil(t n) + 1.  So rare tokens are
+indexed alone.  A set that runs out of rare tokens has its prefix extended over its frequent tokens,
+which are indexed in combinations of two neighbours (in that order): with M tokens missed on both
+sides, M <= 0.3 n for t = 0.85, the first 0.3 n + 2 of them hold a neighbouring pair that both sets
+share.  Sets that are equal are one node.
+
+Which tokens count as frequent, and their classes, only steer the work: any choice gives the same
+links.  They are counted over all documents; at most FREQUENT_MOST of them are named, the most
+frequent ones.
+
+Postings are not expanded into pairs at first.  In round k each posting links its nodes to 2^k
+pivots; links found are contracted, and only nodes of different components meet again.  As soon as
+the pairs left between components are no more than a further round would compare, each of them is
+compared: after at most as many rounds as the longest posting has binary digits.
+
+Keys that hold many rows (signatures, pivots, sets of mass copies) are salted: a row of theirs goes
+to one of several tasks, the few rows that it meets go to all of them.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import textcore
 from tidewake.llm.components import connected_components
+from tidewake.llm.skew import salted_join
 from tidewake.llm.workspace import Workspace
 
 FREQUENT_FROM = 16
@@ -34,9 +41,8 @@ FREQUENT_MOST = 1_000_000
 #: among them from which all tokens of the set are counted.
 ZONE = 1.3
 DOMINATED = 0.2
-#: Cross-component pairs per posting row that are compared by size and reach without pivots: at
-#: first, and the more the more rounds of pivots have linked what is alike.
-PAIRS_PER_ROW = (1, 2, 4, 400)
+#: Pivots of a posting in the first round; each round doubles them.
+PIVOTS = 1
 #: Document keys broadcast at most when the texts of candidates are fetched (8 bytes each).
 BROADCAST_KEYS = 400_000
 
@@ -94,10 +100,10 @@ class JaccardJoin:
                 prints = pa.array([_fingerprint(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), sizes, prints, _lists([s[: int(ZONE * _prefix(len(s), percent)) + 2] for s in sets])], ["k", "n", "fp", "tokens"])
 
-        return self.docs.mapInArrow(scan, "k long, n long, fp long, tokens array<long>")
+        return self.docs.mapInArrow(textcore.lean(scan), "k long, n long, fp long, tokens array<long>")
 
-    def _counted(self, tokens: DataFrame, name: str) -> np.ndarray:
-        """The most frequent of exploded tokens, at most FREQUENT_MOST of them, sorted."""
+    def _counted(self, tokens: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent of exploded tokens, at most FREQUENT_MOST of them, sorted, and the class (binary digits) of their counts."""
         counted = tokens.groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM)
         counted = self.work.save(counted, name)
         by_power = counted.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
@@ -107,12 +113,14 @@ class JaccardJoin:
             if total > FREQUENT_MOST:
                 least = 2 ** (row["power"] + 1)
                 break
-        chosen = counted.filter(F.col("count") >= least).select("token").toArrow()
-        return np.sort(chosen.column(0).to_numpy().view(np.uint64))
-
-    def _frequent(self, nodes: DataFrame) -> np.ndarray:
-        """Frequent tokens: counted near all sets' prefixes, then over all of the sets that these dominate."""
-        near = self._counted(nodes.select(F.explode("tokens").alias("token")), "frequent-near")
+        chosen = counted.filter(F.col("count") >= least).select("token", F.floor(F.log2("count")).cast("int").alias("power")).toArrow()
+        token = chosen.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(token)
+        return token[order], chosen.column(1).to_numpy().astype(np.uint8)[order]
+
+    def _frequent(self, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent tokens and their classes: counted near all sets' prefixes, then over all of the sets that these dominate."""
+        near, near_class = self._counted(nodes.select(F.explode("tokens").alias("token")), "frequent-near")
         shared = self.spark.sparkContext.broadcast(near)
 
         def dominated(batches):
@@ -126,10 +134,13 @@ class JaccardJoin:
                 share = np.diff(sums) / np.maximum(np.diff(ends), 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(share > DOMINATED))], ["k"])
 
-        keys = self.work.save(nodes.select("k", "tokens").mapInArrow(dominated, "k long").distinct(), "dominated")
+        keys = self.work.save(nodes.select("k", "tokens").mapInArrow(textcore.lean(dominated), "k long").distinct(), "dominated")
         sets = self._whole_sets(keys)
-        far = self._counted(sets.select(F.explode("tokens").alias("token")), "frequent-far")
-        return np.unique(np.concatenate((near, far)))
+        far, far_class = self._counted(sets.select(F.explode("tokens").alias("token")), "frequent-far")
+        tokens, at = np.unique(np.concatenate((near, far)), return_inverse=True)
+        classes = np.zeros(len(tokens), np.uint8)
+        np.maximum.at(classes, at, np.concatenate((near_class, far_class)))
+        return tokens, classes
 
     def _whole_sets(self, keys: DataFrame) -> DataFrame:
         """(fp, n, tokens): the sets of the documents with these keys, each set once."""
@@ -142,15 +153,15 @@ class JaccardJoin:
                 sets = list(_sets(batch, words))
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["fp", "n", "tokens"])
 
-        return texts.mapInArrow(full, "fp long, n long, tokens array<long>").groupBy("fp", "n").agg(F.first("tokens").alias("tokens"))
+        return texts.mapInArrow(textcore.lean(full), "fp long, n long, tokens array<long>").groupBy("fp", "n").agg(F.first("tokens").alias("tokens"))
 
-    def _signatures(self, frequent: np.ndarray) -> DataFrame:
+    def _signatures(self, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(n, fp, rare, signs): per document its signatures, the first ``rare`` of them single tokens."""
         words, percent = self.words, self.percent
         shared = self.spark.sparkContext.broadcast(frequent)
 
         def sign(batches):
-            heavy = shared.value
+            heavy, classes = shared.value
             for batch in batches:
                 out = []
                 for s in _sets(batch, words):
@@ -163,13 +174,13 @@ class JaccardJoin:
                     if len(rare) >= (p := _prefix(len(s), percent)):
                         out.append((len(s), _fingerprint(s), p, rare[:p]))
                         continue
-                    far = s[common][: max(2, _stretch(len(s), percent) - 2 * len(rare))]
+                    far = s[common][np.argsort(classes[at[common]], kind="stable")][: max(2, _stretch(len(s), percent) - 2 * len(rare))]
                     pairs = textcore.mix(far[:-1] * np.uint64(0x9FB21C651E98DF25) + far[1:])
                     out.append((len(s), _fingerprint(s), len(rare), np.concatenate((rare, pairs))))
                 ints = [pa.array([x[i] for x in out], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *ints, _lists([x[3] for x in out])], ["k", "n", "fp", "rare", "signs"])
 
-        signed = self.docs.mapInArrow(sign, "k long, n long, fp long, rare long, signs array<long>")
+        signed = self.docs.mapInArrow(textcore.lean(sign), "k long, n long, fp long, rare long, signs array<long>")
         return signed.filter("k IS NOT NULL AND n > 0").groupBy("fp", "n", "rare").agg(F.first("signs").alias("signs"))
 
     def _postings(self, signed: DataFrame) -> DataFrame:
@@ -179,9 +190,7 @@ class JaccardJoin:
         rows = signed.select("fp", "n", "rare", F.posexplode("signs").alias("at", "sign"))
         # What a set can still share from its first common signature on: no token before it is shared.
         rows = rows.select("sign", "fp", "n", (F.col("n") - F.least("at", "rare")).alias("reach"))
-        posted = self.work.save(rows.join(counts, "sign"), "postings")
-        self.work.drop("signed")
-        return posted
+        return rows.join(counts, "sign")
 
     def _may_link(self, a: str, b: str):
         """Whether the sizes and what can still be shared allow a link of rows a and b."""
@@ -200,14 +209,34 @@ class JaccardJoin:
 
     def _verify(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """All pairs with whether they link."""
-        a, b = sets.alias("s"), sets.alias("u")
-        with_a = pairs.join(a, F.col("a") == F.col("s.fp")).select("a", "b", F.col("s.n").alias("an"), F.col("s.tokens").alias("at"))
-        with_b = with_a.join(b, F.col("b") == F.col("u.fp")).select("a", "b", "an", F.col("u.n").alias("bn"), F.size(F.array_intersect("at", "u.tokens")).alias("both"))
+        first = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
+        second = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
+        with_a = salted_join(pairs, first, "a", "b", self.work, f"{name}-a")
+        both = F.size(F.array_intersect("at", "bt"))
+        with_b = salted_join(with_a, second, "b", "a", self.work, f"{name}-b", counted=pairs).select("a", "b", "an", "bn", both.alias("both"))
         linked = with_b.select("a", "b", (100 * F.col("both") >= self.percent * (F.col("an") + F.col("bn") - F.col("both"))).alias("linked"))
         return self.work.save(linked, name)
 
+    def _crossing(self, rows: DataFrame) -> DataFrame:
+        """(sign, low, major) of the postings that join different components: their least size, and the component of most rows."""
+        parts = rows.groupBy("sign", "component").agg(F.count("*").alias("m"), F.min("n").alias("low"))
+        return parts.groupBy("sign").agg(F.min("low").alias("low"), F.max_by("component", "m").alias("major"), F.count("*").alias("components")).filter("components > 1").drop("components")
+
+    def _pivots(self, rows: DataFrame, count: int, k: int) -> DataFrame:
+        """(sign, pivots): about ``count`` nodes of different components in each posting, the one that reaches farthest among them."""
+        ahead = F.min(F.struct((-F.col("reach")).alias("back"), F.col("n"), F.col("fp"), F.col("component")))
+        heads = rows.groupBy("sign", "component").agg(ahead.alias("head"))
+        first = heads.groupBy("sign").agg(F.min("head").alias("first"), F.count("*").alias("components"))
+        if count == 1:
+            return first.select("sign", F.array("first").alias("pivots"))
+        # A component's node is drawn with the chance count / components, the same on each run.
+        heads = salted_join(heads, first, "sign", "component", self.work, f"heads-{k}")
+        drawn = F.pmod(F.xxhash64("sign", "component", F.lit(k)), F.lit(1 << 20)) * F.col("components") < count * (1 << 20)
+        heads = heads.filter(drawn | (F.col("head") == F.col("first")))
+        return heads.groupBy("sign").agg(F.collect_list("head").alias("pivots"))
+
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(k, n, fp) of all documents; (fp, k) of nodes with the least key; (node, component) of linked nodes."""
+        """(k, n, fp) of all documents; (fp, n, k) of nodes with the least key; (node, component) of linked nodes."""
         scanned = self.work.save(self._scan(), "scanned")
         grouped = scanned.filter("k IS NOT NULL AND n > 0").groupBy("fp", "n").agg(F.min("k").alias("k"), F.first("tokens").alias("tokens"))
         nodes = self.work.save(grouped, "nodes-with-tokens")
@@ -216,38 +245,39 @@ class JaccardJoin:
         frequent = self._frequent(nodes)
         nodes = self.work.save(nodes.select("fp", "n", "k"), "nodes")
         self.work.drop("nodes-with-tokens")
-        rows = self._postings(self._signatures(frequent)).withColumn("component", F.col("fp"))
+        rows = self.work.save(self._postings(self._signatures(frequent)).withColumn("component", F.col("fp")), "postings")
+        self.work.drop("signed")
         done = sets = components = None
-        for k in range(10_000):
-            crossing = rows.groupBy("sign", "component").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.min(F.struct((-F.col("reach")).alias("back"), "n", "fp")).alias("pivot"))
-            crossing = crossing.groupBy("sign").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.min("low").alias("low"), F.min("pivot").alias("pivot"), F.max_by("component", "m").alias("major"), F.count("*").alias("components")).filter("components > 1").drop("components")
+        k, count, last = 0, PIVOTS, False
+        while not last:
             # A row that reaches too little for the posting's least size links with none of it.
+            rows = salted_join(rows, self._crossing(rows), "sign", "fp", self.work, f"crossing-{k}")
             least = F.greatest(F.col("low"), F.ceil(F.col("n") * self.percent / 100))
-            rows = rows.join(crossing.select("sign", "low", "major", F.col("pivot.fp").alias("pivot"), F.col("pivot.n").alias("pivot_n"), (-F.col("pivot.back")).alias("pivot_reach")), "sign")
             rows = rows.filter(F.lit(100 + self.percent) * F.col("reach") >= self.percent * (F.col("n") + least))
-            rows = self.work.save(rows, f"rows-{k}")
+            rows = self.work.save(rows.select("sign", "fp", "n", "reach", "component", "major"), f"rows-{k}")
             sums = rows.groupBy("sign", "component").count().groupBy("sign").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("mm"))
             left, total = sums.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).collect()[0]
-            self.rounds.append({"rows": int(total), "pairs": int(left)})
+            self.rounds.append({"rows": int(total), "pairs": int(left), "pivots": count})
             if not left:
                 break
-            last = left <= PAIRS_PER_ROW[min(k, len(PAIRS_PER_ROW) - 1)] * total
+            last = left <= count * total
+            y = rows.select("sign", "fp", "n", "reach", "component")
             if last:
-                x, y = rows.filter("component != major").alias("x"), rows.alias("y")
-                met = x.join(y, (F.col("x.sign") == F.col("y.sign")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y")).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+                x = rows.filter("component != major").select("sign", F.struct((-F.col("reach")).alias("back"), "n", "fp", "component").alias("x"))
             else:
-                y = rows.select("fp", "n", "reach", "component", F.struct(F.col("pivot_n").alias("n"), F.col("pivot_reach").alias("reach")).alias("x"), "pivot").alias("y")
-                met = y.filter((F.col("pivot") != F.col("fp")) & self._may_link("x", "y")).select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
-            met = met.distinct()
+                x = self._pivots(rows, count, k).select("sign", F.explode("pivots").alias("x"))
+            x = x.select("sign", F.struct(F.col("x.fp").alias("fp"), F.col("x.n").alias("n"), (-F.col("x.back")).alias("reach"), F.col("x.component").alias("component")).alias("x"))
+            met = salted_join(y, x, "sign", "fp", self.work, f"meeting-{k}").withColumn("y", F.struct("fp", "n", "reach", "component"))
+            met = met.filter((F.col("x.component") != F.col("y.component")) & self._may_link("x", "y")).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
             met = self.work.save(met if done is None else met.join(done, ["a", "b"], "left_anti"), f"met-{k}")
             sets = self._fetch(met, nodes, sets, f"sets-{k}")
             checked = self._verify(met, sets, f"checked-{k}")
             done = checked if done is None else done.union(checked)
             components = connected_components(done.filter("linked").select("a", "b"), self.work, f"components-{k}")
             components = self.work.save(components, f"labels-{k}")
-            if last:
-                break
-            rows = rows.filter("fp != pivot").select("sign", "fp", "n", "reach").join(components, F.col("fp") == F.col("node"), "left").select("sign", "fp", "n", "reach", F.coalesce("component", "fp").alias("component"))
+            rows = rows.select("sign", "fp", "n", "reach").join(components, F.col("fp") == F.col("node"), "left").select("sign", "fp", "n", "reach", F.coalesce("component", "fp").alias("component"))
+            rows = rows if last else self.work.save(rows, f"contracted-{k}")
+            k, count = k + 1, 2 * count
         if components is None:
             components = self.spark.createDataFrame([], "node long, component long")
         self.links = done
@@ -262,13 +292,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with nothing.  Repeated rows stay, each with the same result; columns beyond key and text do
     not matter, whatever their names; an empty table gives an empty one.
     """
-    scanned, nodes, components = JaccardJoin(docs, key, text, words, percent).run()
+    join = JaccardJoin(docs, key, text, words, percent)
+    scanned, nodes, components = join.run()
     labelled = nodes.join(components, F.col("fp") == F.col("node"), "left").select("fp", "n", "k", F.coalesce("component", "fp").alias("component"))
+    labelled = join.work.save(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("k").alias("component_id"))
-    named = labelled.join(least, "component").select("fp", "n", "component_id")
-    found = scanned.join(named, ["fp", "n"], "left")
-    alone = F.when(F.col("n") == 0, F.col("k")).otherwise(F.when(F.col("k").isNotNull(), F.col("component_id")))
-    return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    named = salted_join(labelled, least, "component", "fp", join.work, "named").select("fp", "n", "component_id")
+    named = join.work.save(named.select(F.struct("fp", "n").alias("node"), "component_id"), "components")
+    filled = scanned.filter("n > 0").withColumn("node", F.struct("fp", "n"))
+    found = salted_join(filled, named, "node", "k", join.work, "found", how="left").select("k", "n", F.when(F.col("k").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = found.union(scanned.filter("n = 0").select("k", "n", F.col("k").alias("component_id")))
+    return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
