@@ -180,6 +180,31 @@ def test_toxicity_is_learnt_and_tolerates_gaps(spark):
     assert toxicity.score_texts(docs, toxicity.train(docs, labels.limit(0))).filter("score >= 0.7").count() == 0
 
 
+def test_machine_with_all_landmarks_is_the_exact_kernel_machine():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcde", k=rng.randrange(4, 7))) for _ in range(25)]
+    texts = [" ".join(rng.sample(vocabulary, 4) + ["stupid"] * (i % 3 == 0)) for i in range(24)]
+    labels = [int(i % 3 == 0) for i in range(24)]
+    sentences = toxicity.Sentences.of_texts([t.encode() for t in texts], labels)
+    model = toxicity.train_machine(sentences, ridge=1e-2, count=10_000)
+    got = [sum(model.of_words(sorted(set(t.split())))) + model.bias for t in texts]
+    # The same machine in its own kernel matrix, made word pair by word pair: a from (K, bias) by Newton steps.
+    names = sorted({w for t in texts for w in t.split()})
+    between = toxicity.word_kernel(toxicity.codes(names), toxicity.codes(names)).astype(float)
+    rows = [[names.index(w) for w in sorted(set(t.split()))] for t in texts]
+    k = np.array([[between[np.ix_(a, b)].sum() for b in rows] for a in rows])
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    bad = y > 0
+    weight = np.where(bad, 1 / bad.sum(), 1 / (~bad).sum())
+    alpha, bias = np.zeros(24), 0.0
+    for _ in range(200):
+        active = weight * (1 - y * (k @ alpha + bias) > 0)
+        left = np.block([[active[:, None] * k + 1e-2 * np.eye(24), active[:, None]], [(active @ k)[None], np.array([[active.sum()]])]])
+        alpha_bias = np.linalg.lstsq(left, np.append(active * y, active @ y), rcond=None)[0]
+        alpha, bias = alpha_bias[:-1], alpha_bias[-1]
+    assert np.allclose(got, k @ alpha + bias, atol=2e-2)
+
+
 def test_quality_is_learnt_from_positives_alone(spark):
     rng = random.Random(8)
     rows = []

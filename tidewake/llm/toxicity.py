@@ -1,13 +1,17 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
-The kernel counts common subsequences of ORDER letters, each weighed by DECAY to the power of the
-length it spans in either string, normalised to 1 for equal strings.  Gaps and inserted letters
-only weaken a match.  Instances are words without marks ("st.up-id" is "stupid"), windows of very
-long words, and runs of single letters ("i d i o t") read together.
-
-Words of labelled texts become instances of the label their texts give them; the machine (squared
-hinge, Newton steps) is fitted on the kernel with a few landmark words.  A text's score is a
-logistic function of its two highest words, fitted on the same labelled texts.
+The kernel of two words counts common subsequences of ORDER letters, each weighed by DECAY to the
+power of the length it spans in either word, normalised to 1 for equal words and raised to POWER.
+Gaps and inserted letters only weaken a match.  Words are read without marks ("st.up-id" is
+"stupid"); very long ones in windows, runs of single letters ("i d i o t") as one word.  The kernel
+of two sentences is the sum over the pairs of their different words, so the machine's value of a
+sentence is the sum of a function of its words; of a text it is the highest value of its sentences.
+
+The machine (squared hinge, Newton steps) is trained on the sentences of labelled texts: of each
+toxic text on the one that it, so far, values most; of the others on all, with half the weight on
+those that were their text's highest.  Its Nyström landmarks are words of these sentences, chosen in
+rounds where the loss falls most steeply.  A text's score is a logistic function of its two highest
+sentences, fitted on labelled texts that the machine has not seen.
 """
 
 from __future__ import annotations
@@ -25,17 +29,30 @@ from tidewake.llm import textcore
 
 ORDER = 3
 DECAY = 0.6
-#: Letters of an instance at most; longer words are read in windows of so many.
+POWER = 2
+#: Letters of a word at most; longer ones are read in windows of so many, of which the highest counts.
 WINDOW = 20
-#: Lengths at which every stretch of a run of single letters is read as a word.
-SPELLED = (4, 5, 6, 8, 10)
-#: Bounds of the labelled sample that is fitted: toxic and other texts, and words of either kind.
+#: A sentence ends after a word that ends in one of these bytes, at a line's end, or after so many words.
+END_MARKS = np.zeros(256, bool)
+END_MARKS[[ord(c) for c in ".!?"]] = True
+SENTENCE_WORDS = 40
+#: Most letters of a stretch of single letters that is read as a word; the run is also read whole.
+SPELLED = 12
+#: Bounds of the labelled sample that is fitted: toxic and other texts, and bytes of one of them.
 TOXIC_TEXTS = 1500
 OTHER_TEXTS = 3000
-WORDS_OF_A_KIND = 6000
-LANDMARKS = 40
-#: Words whose values a worker remembers.
-MEMO = 2_000_000
+TEXT_BYTES = 8000
+LANDMARKS = 80
+LANDMARK_ROUNDS = 6
+#: Rounds of choosing witnesses after the last landmarks are chosen.
+EXTRA_ROUNDS = 4
+#: Words that landmarks are chosen from in a round, and the kernel below which two of them are apart.
+CANDIDATES = 600
+APART = 0.8
+#: Part of the labelled sample that is kept from the machine for the logistic: one in so many.
+KEPT_BACK = 4
+#: Slots of the table of word values that a task remembers.
+SLOTS = 1 << 20
 
 
 def letters(word: str) -> str:
@@ -91,6 +108,17 @@ def normal_kernel(a: np.ndarray, b: np.ndarray, b_own: np.ndarray | None = None,
     return out
 
 
+def word_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return normal_kernel(a, b) ** POWER
+
+
+def word_windows(word: str) -> list[str]:
+    """A word's instances: itself, or its windows."""
+    if len(word) <= WINDOW:
+        return [word]
+    return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
 @dataclass
 class Model:
     """Landmark words, the machine's weights over them, and the text-level logistic."""
@@ -101,17 +129,24 @@ class Model:
     logistic: tuple[float, float, float] = (4.0, 0.0, 0.0)
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        """Decision values of instances; windows of long ones, the highest counts."""
+        """What each word adds to its sentence's value; of a long word the highest window."""
         if not self.landmarks:
-            return np.full(len(words), -1.0)
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for at in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else (0,):
-                parts.append(w[at : at + WINDOW])
-                owner.append(i)
-        values = normal_kernel(codes(parts), codes(self.landmarks)) @ self.weights + self.bias
-        out = np.full(len(words), -np.inf)
-        np.maximum.at(out, owner, values)
+            return np.zeros(len(words))
+        return self._highest([word_windows(w) for w in words])
+
+    def of_runs(self, runs: list[str]) -> np.ndarray:
+        """The same for runs of single letters: of all stretches that may be a word, the highest counts."""
+        if not self.landmarks:
+            return np.zeros(len(runs))
+        stretches = [{run[k : k + n] for n in range(ORDER + 1, SPELLED + 1) for k in range(len(run) - n + 1)} for run in runs]
+        return self._highest([sorted(s) + word_windows(run) for s, run in zip(stretches, runs)])
+
+    def _highest(self, groups: list[list[str]]) -> np.ndarray:
+        parts = [w for group in groups for w in group]
+        out = np.full(len(groups), -np.inf)
+        if parts:
+            values = normal_kernel(codes(parts), codes(self.landmarks)) ** POWER @ self.weights
+            np.maximum.at(out, np.repeat(np.arange(len(groups)), [len(g) for g in groups]), values)
         return out
 
     def of_text(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -119,111 +154,195 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * first + b * second + c, -35, 35)))
 
 
+_LETTER = np.zeros(256, np.int64)
+_LETTER[[b for b in range(128) if chr(b).isalnum()]] = 1
+_LETTER[0xC0:] = 1
+
+
+class Words:
+    """The words of one text: hashes, places, the sentence of each, and the runs of single letters."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.hashes, self.starts, self.ends = textcore.located_words(data)
+        n = len(self.starts)
+        self.sentence = np.zeros(n, np.int64)
+        self.spelled: list[tuple[int, str]] = []
+        if not n:
+            return
+        lines = np.concatenate(([0], np.cumsum(data == 10)))
+        over = END_MARKS[data[self.ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[self.ends[:-1]])
+        begins = np.concatenate(([0], np.flatnonzero(over) + 1))
+        place = np.arange(n) - np.repeat(begins, np.diff(np.concatenate((begins, [n]))))
+        self.sentence = np.cumsum(place % SENTENCE_WORDS == 0) - 1
+        count = np.concatenate(([0], np.cumsum(_LETTER[data])))
+        single = (count[self.ends] - count[self.starts] == 1).astype(np.int8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], single, [0]))))
+        for a, b in zip(edges[::2], edges[1::2]):
+            if b - a > ORDER:
+                self.spelled.append((int(self.sentence[a]), letters(bytes(data[self.starts[a] : self.ends[b - 1]]).decode("utf-8", "ignore"))))
+
+    def string(self, i: int) -> str:
+        return letters(bytes(self.data[self.starts[i] : self.ends[i]]).decode("utf-8", "ignore"))
+
+
 class Reader:
-    """The two highest word values of texts, with a bounded memo of words by hash."""
+    """The two highest sentence values of texts; a table of bounded size remembers words by hash."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.float32)
+        self.keys, self.values = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
 
     def read(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, words, spelled = [], [], {}
-        for data in texts:
-            h, s, e = textcore.located_words(data)
-            hashes.append(h)
-            words.append((data, s, e))
-            run = np.flatnonzero(np.diff(np.concatenate(([0], (_letters_in(data, s, e) == 1).astype(np.int8), [0]))))
-            for a, b in zip(run[::2], run[1::2]):
-                if b - a >= ORDER + 1:
-                    together = letters(bytes(data[s[a] : e[b - 1]]).decode("utf-8", "ignore"))
-                    spelled.setdefault(len(hashes) - 1, set()).update(together[k : k + n] for n in SPELLED for k in range(max(1, len(together) - n + 1)))
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        ends = np.cumsum([0] + [len(h) for h in hashes])
+        words = [Words(data) for data in texts]
+        ends = np.cumsum([0] + [len(w.hashes) for w in words])
+        flat = np.concatenate([w.hashes for w in words]) if words else np.empty(0, np.uint64)
         unique, at, back = np.unique(flat, return_index=True, return_inverse=True)
-        value = self._values(unique, at, ends, words)[back]
-        first, second = np.full(len(texts), -2.0), np.full(len(texts), -2.0)
-        for i in range(len(texts)):
-            own = value[ends[i] : ends[i + 1]]
-            if i in spelled:
-                own = np.concatenate((own, self.model.of_words(sorted(spelled[i]))))
-            if len(own):
-                top = np.partition(own, len(own) - 2)[-2:] if len(own) > 1 else np.array([-2.0, own[0]])
-                first[i], second[i] = top[1], top[0]
+        owner = np.searchsorted(ends, at, side="right") - 1
+        value = self._values(unique, lambda k: words[owner[k]].string(int(at[k] - ends[owner[k]])))
+        # A word counts once in a sentence.
+        begins = np.cumsum([0] + [int(w.sentence[-1]) + 1 if len(w.sentence) else 0 for w in words])
+        place = np.concatenate([w.sentence + b for w, b in zip(words, begins)]) if words else np.empty(0, np.int64)
+        once = np.unique(place * len(unique) + back) if len(unique) else place
+        sums = np.bincount(once // max(1, len(unique)), value[once % max(1, len(unique))], begins[-1])
+        first, second = np.full(len(texts), self.model.bias), np.full(len(texts), self.model.bias)
+        spelled = [(i, s, string) for i, w in enumerate(words) for s, string in w.spelled]
+        together = self.model.of_runs([string for _, _, string in spelled])
+        np.add.at(sums, np.array([begins[i] + s for i, s, _ in spelled], np.int64), together)
+        for i, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
+            if b > a:
+                first[i] += sums[a:b].max()
+                second[i] += np.partition(sums[a:b], b - a - 2)[-2] if b - a > 1 else 0.0
         return first, second
 
-    def _values(self, unique: np.ndarray, at: np.ndarray, ends: np.ndarray, words: list) -> np.ndarray:
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
-        value = np.empty(len(unique), np.float32)
-        value[known] = self.values[place[known]] if known.any() else 0
-        new = np.flatnonzero(~known)
+    def _values(self, unique: np.ndarray, string) -> np.ndarray:
+        slot = (unique & np.uint64(SLOTS - 1)).astype(np.int64)
+        value = self.values[slot]
+        new = np.flatnonzero(self.keys[slot] != unique)
         if len(new):
-            owner = np.searchsorted(ends, at[new], side="right") - 1
-            strings = []
-            for k, i in zip(at[new], owner):
-                data, s, e = words[i]
-                k -= ends[i]
-                strings.append(letters(bytes(data[s[k] : e[k]]).decode("utf-8", "ignore")))
-            value[new] = self.model.of_words(strings)
-            if len(self.keys) + len(new) > MEMO:
-                self.keys, self.values = unique[new], value[new]
-            else:
-                keys = np.concatenate((self.keys, unique[new]))
-                order = np.argsort(keys, kind="stable")
-                self.keys, self.values = keys[order], np.concatenate((self.values, value[new]))[order]
+            value[new] = self.model.of_words([string(k) for k in new.tolist()])
+            self.keys[slot[new]], self.values[slot[new]] = unique[new], value[new]
         return value
 
 
-def _letters_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Characters of each word (bytes that are no continuation bytes)."""
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return heads[ends] - heads[starts]
-
-
-def _landmarks(words: list[str], weight: np.ndarray, count: int) -> list[str]:
-    """Words far apart in the kernel's space, heavy ones first."""
-    if len(words) <= count:
-        return list(words)
-    x = codes(words)
-    own = own_weight(x)
-    chosen = [int(np.argmax(weight))]
-    near = np.zeros(len(words), np.float32)
-    while len(chosen) < count:
-        one = x[chosen[-1]][None]
-        near = np.maximum(near, normal_kernel(x, one, own[chosen[-1]][None])[:, 0])
-        chosen.append(int(np.argmax(np.log1p(weight) * (1.001 - near))))
-    return [words[i] for i in dict.fromkeys(chosen)]
-
-
-def fit_words(toxic: dict[str, int], other: dict[str, int], ridge: float = 1e-2) -> Model:
-    """The machine on words: toxic ones and others, each with its weight."""
-    toxic = {w[:WINDOW]: n for w, n in sorted(toxic.items()) if len(w) >= ORDER}
-    other = {w[:WINDOW]: n for w, n in sorted(other.items()) if len(w) >= ORDER and w[:WINDOW] not in toxic}
-    if not toxic or not other:
+@dataclass
+class Sentences:
+    """Labelled sentences as lists of numbered words; ``text`` numbers the text of each sentence."""
+
+    strings: list[str]
+    word: np.ndarray
+    start: np.ndarray
+    text: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of_texts(cls, texts: list[bytes], labels: list[int]) -> Sentences:
+        number: dict[str, int] = {}
+        word, start, owner = [], [], []
+        for i, raw in enumerate(texts):
+            found = Words(np.frombuffer(raw, np.uint8))
+            rows: list[list[int]] = [[] for _ in range(int(found.sentence[-1]) + 1 if len(found.sentence) else 0)]
+            plain = [(int(s), found.string(k)) for k, s in enumerate(found.sentence)]
+            for s, string in plain + found.spelled:
+                rows[s] += [number.setdefault(w, len(number)) for w in word_windows(string) if len(w) >= ORDER]
+            for row in rows:
+                if row:
+                    start.append(len(word))
+                    word += dict.fromkeys(row)
+                    owner.append(i)
+        return cls(list(number), np.array(word, np.int64), np.array(start, np.int64), np.array(owner, np.int64), np.array(labels, np.int64)[owner] if owner else np.empty(0, np.int64))
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """Per sentence the sum of its words' rows."""
+        out = np.empty((len(self.start), *of_word.shape[1:]), of_word.dtype)
+        step = 20_000
+        edges = np.append(self.start, len(self.word))
+        for a in range(0, len(self.start), step):
+            b = min(a + step, len(self.start))
+            out[a:b] = np.add.reduceat(of_word[self.word[edges[a] : edges[b]]], edges[a:b] - edges[a], axis=0)
+        return out
+
+    def steepest(self, pull: np.ndarray, weight: np.ndarray, chosen: list[int], x: np.ndarray, count: int) -> list[int]:
+        """Words along whose occurrence the loss falls most, each apart from those chosen before."""
+        lengths = np.diff(np.append(self.start, len(self.word)))
+        gradient = np.bincount(self.word, np.repeat(pull, lengths), len(self.strings))
+        size = np.bincount(self.word, np.repeat(weight, lengths), len(self.strings))
+        floor = 5 * weight.max(initial=1e-12)
+        value = np.abs(gradient) / np.sqrt(size + floor)
+        few = np.argsort(-value, kind="stable")[:CANDIDATES]
+        value = value[few]
+        found, apart = list(chosen), np.zeros(len(few))
+        if chosen:
+            apart = normal_kernel(x[few], x[chosen]).max(axis=1)
+        while len(found) - len(chosen) < count and (apart < APART).any():
+            k = int(np.argmax(np.where(apart < APART, value, -1)))
+            found.append(int(few[k]))
+            apart = np.maximum(apart, normal_kernel(x[few], x[[few[k]]])[:, 0])
+        return found
+
+
+def train_machine(sentences: Sentences, ridge: float = 1e-4, count: int = LANDMARKS, rounds: int = LANDMARK_ROUNDS) -> Model:
+    """The machine on labelled sentences; with ``count`` no less than the words, the exact kernel machine."""
+    bad = sentences.toxic == 1
+    if not bad.any() or bad.all():
         return Model([], np.zeros(0), -1.0)
-    weigh = lambda d: np.array(list(d.values()), float)
-    marks = _landmarks(list(toxic), weigh(toxic) ** 2, LANDMARKS * 3 // 4) + _landmarks(list(other), weigh(other), LANDMARKS // 4)
-    words = list(toxic) + list(other)
-    x = normal_kernel(codes(words), codes(marks)).astype(float)
-    gram = normal_kernel(codes(marks), codes(marks)).astype(float)
-    vals, vecs = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(marks)))
-    root = vecs / np.sqrt(np.maximum(vals, 1e-6)) @ vecs.T
-    z = np.hstack((x @ root, np.ones((len(words), 1))))
-    y = np.concatenate((np.ones(len(toxic)), -np.ones(len(other))))
-    w = np.concatenate((weigh(toxic) ** 2 / (weigh(toxic) ** 2).sum(), weigh(other) / weigh(other).sum()))
+    x = codes(sentences.strings)
+    per_text = np.bincount(sentences.text)[sentences.text]
+    weight = np.where(bad, 1.0 / per_text, 1.0)
+    weight = np.where(bad, weight / weight[bad].sum(), weight / weight[~bad].sum())
+    y = np.where(bad, 1.0, -1.0)
+    use = np.ones(len(y), bool)
+    pull = weight * y
+    chosen: list[int] = []
+    kernels = np.zeros((len(x), 0), np.float32)
+    value = np.zeros(len(y))
+    hard = np.zeros(len(y))
+    every = count >= len(x)
+    beta = np.zeros(1)
+    for turn in range(rounds + EXTRA_ROUNDS):
+        if every and not turn:
+            new = list(range(len(x)))
+        else:
+            new = sentences.steepest(pull, weight, chosen, x, -(-count // rounds)) if turn < rounds and not every else chosen
+        if len(new) > len(chosen):
+            kernels = np.hstack((kernels, word_kernel(x, x[new[len(chosen) :]])))
+            chosen = new
+        gram = kernels[chosen].astype(float)
+        vals, vecs = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(chosen)))
+        root = vecs / np.sqrt(np.maximum(vals, 1e-6)) @ vecs.T
+        z = np.hstack((sentences.sums(kernels).astype(float) @ root, np.ones((len(y), 1))))
+        beta = newton(z[use], y[use], weight[use], ridge)
+        value = z @ beta
+        # The witness of each toxic text: the sentence of the highest value.
+        order = np.lexsort((-value, sentences.text))
+        heads = order[np.concatenate(([True], np.diff(sentences.text[order]) > 0))]
+        witness = np.zeros(len(y), bool)
+        witness[heads] = True
+        use = ~bad | witness
+        # Other texts: half the weight for all sentences alike, half for those that were highest in their text.
+        hard += ((witness & ~bad) / max(1, (witness & ~bad).sum()) - hard) * max(1 / (turn + 1), 0.3)
+        weight = np.where(bad, witness / max(1, (witness & bad).sum()), 0.5 / (~bad).sum() + 0.5 * hard)
+        pull = weight * y * np.maximum(0, 1 - y * value)
+    return Model([sentences.strings[i] for i in chosen], (root @ beta[:-1]).astype(np.float32), float(beta[-1]))
+
+
+def newton(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights that minimise sum(weight * hinge^2) + ridge * |w|^2, the last one a free bias."""
     beta = np.zeros(z.shape[1])
-    keep = np.diag([ridge / 10] * (z.shape[1] - 1) + [1e-6])
-    for _ in range(30):
+    keep = np.diag([ridge] * (z.shape[1] - 1) + [1e-9])
+    loss = lambda b: (weight * np.maximum(0, 1 - y * (z @ b)) ** 2).sum() + b @ keep @ b
+    for _ in range(50):
         slack = np.maximum(0, 1 - y * (z @ beta))
         active = slack > 0
-        hess = (z[active] * w[active, None]).T @ z[active] + keep
-        step = np.linalg.solve(hess, (z[active] * w[active, None]).T @ (y[active] * slack[active]) - keep @ beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+        hess = (z[active] * weight[active, None]).T @ z[active] + keep
+        step = np.linalg.solve(hess, (z[active] * weight[active, None]).T @ (y[active] * slack[active]) - keep @ beta)
+        size, now = 1.0, loss(beta)
+        while size > 1e-4 and loss(beta + size * step) > now:
+            size /= 2
+        beta = beta + size * step
+        if np.abs(step).max() < 1e-9:
             break
-    return Model(marks, (root @ beta[:-1]).astype(np.float32), float(beta[-1]))
+    return beta
 
 
 def fit_logistic(first: np.ndarray, second: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
@@ -244,72 +363,57 @@ def fit_logistic(first: np.ndarray, second: np.ndarray, label: np.ndarray) -> tu
     return tuple(float(b) for b in beta)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, text, label) of a bounded sample of labelled rows, the first of either label by hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, toxic_texts: int, other_texts: int, text_bytes: int) -> DataFrame:
+    """(text, label, back) of a bounded sample of labelled rows, the first of either label by hash, of texts of a bounded length."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     by_hash = F.xxhash64(F.col("k").cast("string"))
-    chosen = known.filter("y = 1").orderBy(by_hash).limit(TOXIC_TEXTS).union(known.filter("y = 0").orderBy(by_hash).limit(OTHER_TEXTS))
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    chosen = known.filter("y = 1").orderBy(by_hash).limit(toxic_texts).union(known.filter("y = 0").orderBy(by_hash).limit(other_texts))
+    chosen = chosen.withColumn("back", F.pmod(F.xxhash64(F.lit("back"), F.col("k").cast("string")), F.lit(KEPT_BACK)) == 0)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.octet_length("t") <= text_bytes)
+    return texts.join(F.broadcast(chosen), "k").select("t", F.col("y").cast("int").alias("y"), "back").distinct()
+
+
+def fit(texts: list[tuple[bytes, int, bool]]) -> Model:
+    """The machine and its logistic from (text, label, kept back)."""
+    seen = [r for r in texts if not r[2]]
+    model = train_machine(Sentences.of_texts([r[0] for r in seen], [r[1] for r in seen]))
+    back = [r for r in texts if r[2]]
+    if len({r[1] for r in back}) < 2:
+        back = texts
+    first, second = Reader(model).read([np.frombuffer(r[0], np.uint8) for r in back])
+    model.logistic = fit_logistic(first, second, np.array([r[1] for r in back], float))
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most TOXIC_TEXTS + OTHER_TEXTS of the labelled rows that are given.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_texts: int = TOXIC_TEXTS, other_texts: int = OTHER_TEXTS, text_bytes: int = TEXT_BYTES) -> Model:
+    """Fit on at most ``toxic_texts`` and ``other_texts`` of the labelled rows that are given, of at most ``text_bytes`` each.
 
-    A word's weight is the number of different words it follows in texts of a label, so copies of
-    one text add nothing.  Null labels, keys and texts are left out; without both labels every
-    text scores low.
+    Copies of one text count once.  Null labels, keys and texts are left out; without both labels
+    every text scores low.  Ties in the order by hash do not matter: keys are distinct.
     """
-    sample = labelled_sample(docs, labels, key, text, label)
-    pieces = sample.filter("t IS NOT NULL").select("y", F.split(F.lower("t"), r"\s+").alias("w"))
-    near = pieces.select("y", F.posexplode("w").alias("i", "raw"), "w").select("y", F.regexp_replace("raw", r"[^\p{L}\p{N}]+", "").alias("word"), F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("before"))
-    near = near.filter(F.length("word") >= ORDER).groupBy("word", "y", "before").agg(F.lit(1).alias("one")).groupBy("word").agg(F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("y") == 0, 1)), F.lit(0)).alias("b"))
-    near = near.cache()
-    marked = near.filter("a >= 2 AND a > 10 * b").orderBy(F.desc("a"), "word").limit(WORDS_OF_A_KIND).collect()
-    plain = near.filter("b >= 1 AND a <= 10 * b").orderBy(F.xxhash64("word")).limit(WORDS_OF_A_KIND).union(near.filter("a <= 10 * b").orderBy(F.desc("b"), "word").limit(WORDS_OF_A_KIND // 4)).collect()
-    near.unpersist()
-    model = fit_words({r["word"]: r["a"] for r in marked}, {r["word"]: r["b"] for r in plain})
-    schema = "y int, first double, second double"
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
-        for batch in batches:
-            first, second = reader.read(list(textcore.text_bytes(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(first), pa.array(second)], ["y", "first", "second"])
-
-    found = sample.select("y", "t").mapInArrow(values, schema).toPandas()
-    model.logistic = fit_logistic(found["first"].to_numpy(float), found["second"].to_numpy(float), found["y"].to_numpy(float))
-    return model
+    sample = labelled_sample(docs, labels, key, text, label, toxic_texts, other_texts, text_bytes)
+    return fit(sorted((r["t"].encode(), r["y"], r["back"]) for r in sample.collect()))
 
 
-def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", score: str = "score") -> DataFrame:
     """keep's columns and ``score`` in 0..1 of every whole text; null and empty texts score as having no word.
 
-    Null keys, ties and repeated rows stay, one row each; an empty table gives an empty one.
+    Null keys, ties and repeated rows stay, one row each; an empty table gives an empty one; columns
+    beyond those named do not matter, but ``score`` must not be among keep.  Very long texts are
+    read whole, in segments.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))
     place = list(keep).index(text) if text in keep else len(keep)
-    schema = T.StructType([slim.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([slim.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shared.value)
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
         for batch in batches:
             scores = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.column(place).slice(at, 256)
                 scores.append(shared.value.of_text(*reader.read(list(textcore.text_bytes(part)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores) if scores else np.empty(0))], [*keep, "score"])
-
-    return slim.mapInArrow(score, schema)
-
-
-_readers: dict = {}
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores) if scores else np.empty(0))], [*keep, score])
 
-def _reader(model: Model) -> Reader:
-    """This worker's reader of a model, whose memo lasts from task to task."""
-    key = (tuple(model.landmarks), model.weights.tobytes(), model.bias)
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key]
+    return slim.mapInArrow(textcore.lean(values), schema)
