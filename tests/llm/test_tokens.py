@@ -1,42 +1,75 @@
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewake.llm.tokencount import PieceEncoder, balanced_batches, safe_chunks, token_counts
+from tidewake.llm import textcore
+from tidewake.llm.tokencount import balanced_batches, count_texts, library, safe_parts, size_of, token_counts
+from tidewake.llm.tokenids import IdEncoder
 
-ODD = ["  a  b ", "<|endoftext|> foo<|endoftext|>", "a <|endoftext|>   b　 c\x1c d it's 'll  x", " ", "", "ß\n\n a\t b", "é ́a", "x \ny foo\n bar", "foo\n", " foo\n", "word, Word. WORD!! it's.", "a b" * 50]
+ODD = ["  a  b ", "<|endoftext|> foo<|endoftext|>", "a <|endoftext|>   b　 c\x1c d it's 'll  x", " ", "", "ß\n\n a\t b", "é ́a", "x \ny foo\n bar", "foo\n", " foo\n", "word, Word. WORD!! it's.", "a b" * 50, "ab12cd3" * 9, "x'\n's 't1"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_give_the_whole_texts_ids(name):
+def test_parts_give_the_whole_texts_ids(name):
     whole = Tokenizer.from_file(P.path(name))
-    lengths, ids = PieceEncoder(P.path(name)), PieceEncoder(P.path(name), False)
+    encode, split = library(P.path(name))
+    encoder = IdEncoder(P.path(name))
+    assert split and encoder.by_word == name.startswith("word")
 
-    @settings(max_examples=60, deadline=None)
-    @given(st.lists(st.text(st.sampled_from(list("ab é\n\t ,.'ßİΣ1<|endoftext|>*　")), max_size=40), max_size=5))
+    @settings(max_examples=80, deadline=None)
+    @given(st.lists(st.text(st.sampled_from(list("ab é\n\t ,.'ßİΣ1<|endoftext|>*　\x1c\x85")), max_size=40), max_size=5))
     def same(texts):
         texts = texts + ODD
         want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
-        assert lengths.encode_texts(texts) == [len(x) for x in want]
-        assert ids.encode_texts(texts) == [b"".join(i.to_bytes(4, "little") for i in x) for x in want]
+        assert count_texts(encode, split, texts).tolist() == [len(x) for x in want]
+        parts = [list(safe_parts(t, 8)) for t in texts]
+        assert ["".join(p) for p in parts] == texts
+        assert [sum(encode(p), []) for p in parts] == want
+        ids, at = encoder.texts([np.frombuffer(t.encode(), np.uint8) for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
 
     same()
 
 
-def test_batches_hold_about_equal_bytes():
-    batches = list(balanced_batches(["x" * 100] * 1000, limit=5200))
+def test_batches_are_balanced_by_bytes():
+    batches = list(balanced_batches(((i, "ß" * 50) for i in range(1000)), limit=5200))
     assert sum(map(len, batches)) == 1000 and all(len(b) == 50 for b in batches)
+    mixed = list(balanced_batches(enumerate(["x" * n for n in (10, 9000, 10, 10)]), limit=100))
+    assert [[i for i, _ in b] for b in mixed] == [[0], [1], [2, 3]]
 
 
-def test_long_texts_are_cut_between_words():
-    parts = list(safe_chunks("ab cd  ef gh " * 50, limit=40))
-    assert len(parts) > 5 and " ".join(p for p, _ in parts) == "ab cd  ef gh " * 50
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "\n\n"])
+def test_long_texts_are_cut_at_all_white_space(gap):
+    text = gap.join(["word", "längeres", "x"] * 100_000)
+    parts = list(safe_parts(text))
+    assert "".join(parts) == text and max(map(size_of, parts)) <= 1 << 16 and len(parts) < 2 * size_of(text) / (1 << 16) + 2
+    assert list(safe_parts("x" * 200_000)) == ["x" * 200_000]
+    assert max(map(size_of, safe_parts("日本 " * 60_000))) <= 1 << 16
+
+
+def test_groups_of_texts_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["ab", None, "c" * 100, "d", "", "e" * 9]})
+    groups = [(part.num_rows, [len(t) for t in texts]) for part, texts in textcore.text_groups(batch, 0, 10)]
+    assert groups == [(2, [2, 0]), (1, [100]), (3, [1, 0, 9])]
 
 
 def test_token_counts_of_odd_tables(spark):
-    df = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "z"), (None, None, None), (3, "", "n")], "doc_id long, text string, n_tokens string")
-    rows = sorted(token_counts(df, P.path("byte_bpe_50k.json"), limit=1).collect(), key=str)
-    assert [tuple(r) for r in rows] == sorted([(1, 3, 2, True), (1, 3, 2, True), (None, 0, 0, False), (3, 0, 0, False)], key=lambda r: str(r)) or len(rows) == 4
+    long = "word " * 100_000
+    df = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "z"), (None, None, None), (3, "", "n"), (4, long, "k")], "doc_id long, text string, n_tokens string")
+    rows = sorted((tuple(r) for r in token_counts(df, P.path("byte_bpe_50k.json"), limit=2).collect()), key=str)
+    assert rows == sorted([(1, 3, 2, False), (1, 3, 2, False), (None, 0, 0, False), (3, 0, 0, False), (4, 500_000, 100_001, True)], key=str)
     assert token_counts(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_sentence_pieces_are_counted_whole(spark):
+    import sentencepiece
+
+    whole = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = [t for t in ODD if t]
+    got = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {i: len(whole.encode(t)) for i, t in enumerate(texts)}

@@ -20,6 +20,8 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
+#: Values of bytes where A-Z are not taken as a-z.
+PLAIN = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: For words that are runs of letters and digits: every other ASCII byte separates.
@@ -59,7 +61,7 @@ def _hash_segment(data: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
     return _located(data, gaps)[0]
 
 
-def _located(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _located(data: np.ndarray, gaps: np.ndarray = _SPACE, values: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~gaps[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
@@ -68,7 +70,7 @@ def _located(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, n
     up, down = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_LOWER[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
@@ -94,9 +96,9 @@ def word_hashes(data: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64)] + [_hash_segment(data[a:b], gaps) for a, b in _cuts(data)])
 
 
-def located_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def located_words(data: np.ndarray, values: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with the byte offsets at which each word starts and ends."""
-    parts = [(h, s + a, e + a) for a, b in _cuts(data) for h, s, e in [_located(data[a:b])]]
+    parts = [(h, s + a, e + a) for a, b in _cuts(data) for h, s, e in [_located(data[a:b], _SPACE, values)]]
     if not parts:
         empty = np.empty(0, np.int64)
         return np.empty(0, np.uint64), empty, empty
@@ -136,6 +138,19 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield raw[:0] if null is not None and null[i] else raw[at[i] : at[i + 1]]
 
 
+def text_groups(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch whose texts hold at most ``limit`` bytes (single texts may be longer), with the texts' bytes."""
+    texts = list(text_bytes(batch.column(column)))
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and held + len(text) > limit:
+            yield batch.slice(begin, i - begin), texts[begin:i]
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield batch.slice(begin), texts[begin:]
+
+
 @functools.cache
 def _trim() -> Callable[[int], object]:
     """The C library's way to hand free memory back, where it has one."""

@@ -1,198 +1,93 @@
 """Token counts of whole texts, exactly as a public tokenizer gives them.
 
-A text is cut before every single space that stands between two non-space characters.  Neither a
-byte-level nor a word-level BPE can merge across such a cut (their pre-tokenizers begin a new piece
-there, and special strings hold no space), so the pieces' ids joined are the text's ids.  Pieces
-repeat a lot, so each Python worker encodes every piece once, in batches balanced by bytes, and
-keeps its length (or its ids) in a bounded memo.
+Texts are encoded by the library's batch call inside Arrow functions, which return lengths only.
+Batches are balanced by bytes.  A long text is split before runs of white space that follow another
+character: the pre-tokenizers of byte-level and word-level BPE begin a new piece there, whatever
+stands before, and special strings hold no white space, so the parts' tokens joined are the text's.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters, then marks that every BPE here pre-tokenizes apart from letters: another safe cut.
-WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:*#$%&|]+)")
-#: Pieces up to this many characters are kept in the memo, longer ones are encoded when they come.
-MEMO_CHARS = 64
-MEMO_PIECES = 800_000
+from tidewake.llm import textcore
+
+#: A safe cut: before white space behind a character that is none, or between a letter and a digit.
+SAFE_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])|(?<=[A-Za-z])(?=[0-9])")
+#: Bytes of texts that are encoded in one call, and of a part of a long text.
 BATCH_BYTES = 1 << 18
-#: Characters of a text that are cut into pieces at once.
-CHUNK_CHARS = 1 << 20
+PART_BYTES = 1 << 16
+
+
+def size_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
-def balanced_batches(pieces: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Batches of about ``limit`` bytes each, whatever the number of pieces."""
-    batch, size = [], 0
-    for piece in pieces:
-        batch.append(piece)
-        size += 4 + len(piece)
-        if size >= limit:
+def balanced_batches(parts: Iterable[tuple[int, str]], limit: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Batches of at most ``limit`` bytes each (single parts may be longer), whatever the number of parts."""
+    batch, held = [], 0
+    for part in parts:
+        size = 4 + size_of(part[1])
+        if batch and held + size > limit:
             yield batch
-            batch, size = [], 0
+            batch, held = [], 0
+        batch.append(part)
+        held += size
     if batch:
         yield batch
 
 
-def safe_chunks(text: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[str, bool]]:
-    """Parts of a long text that end at safe cuts, and whether a part lost its leading space."""
-    at, cut = 0, False
-    while len(text) - at > limit:
-        found = SAFE_CUT.search(text, at + limit)
+def safe_parts(text: str, limit: int = PART_BYTES) -> Iterator[str]:
+    """Parts of a text of about ``limit`` bytes that end at safe cuts; a part without one goes on to the next cut."""
+    at, step = 0, max(1, limit // 4)
+    while size_of(text[at : at + limit]) > limit or len(text) - at > limit:
+        found = SAFE_CUT.search(text, at + step)
         if found is None:
             break
-        yield text[at : found.start()], cut
-        at, cut = found.end(), True
-    yield text[at:], cut
-
-
-#: Words whose letters no normalizer here changes but for case.
-PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-PROBES = ("word", "Word", "ABSURD", "naïve", "ÉTÉ", "Übermaß", "ñandú", "internationalization", "q", "ÿ")
-
-
-def byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the rest is numbered from 256."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece; ``lengths_only`` keeps no ids."""
-
-    def __init__(self, path: str, lengths_only: bool = True):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.lengths_only = lengths_only
-        self.direct = self._direct_way()
-        self.memo: dict = {}  # clean pieces that follow a space, kept without it
-
-    def _direct_way(self):
-        """How the library's own model takes " word" for a plain word, or None where no way gives the ids.
-
-        The model skips building a whole encoding per piece.  Ways differ in case folding and in how
-        the space is marked; one is taken only if it gives the tokenizer's ids for all probes.
-        """
-        letters = byte_letters()
-        whole = [x.ids for x in self.tokenizer.encode_batch([" " + p for p in PROBES], add_special_tokens=False)]
-        for fold in (False, True):
-            for mark in ("", letters[32]):
-
-                def spelled(word: str, fold: bool = fold, mark: str = mark) -> str:
-                    return mark + "".join(letters[b] for b in (word.lower() if fold else word).encode())
-
-                try:
-                    if [[t.id for t in self.tokenizer.model.tokenize(spelled(p))] for p in PROBES] == whole:
-                        return spelled
-                except Exception:  # a model that does not know a letter raises: this is not its way
-                    continue
-        return None
-
-    def _encode_words(self, words: set[str]) -> dict:
-        """Values of pieces that follow a space."""
-        values, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
-        for w in words:
-            if self.direct is None or not PLAIN.fullmatch(w):
-                rest.append(w)
-            elif self.lengths_only:
-                values[w] = len(tokenize(self.direct(w)))
-            else:
-                values[w] = np.array([t.id for t in tokenize(self.direct(w))], "<u4").tobytes()
-        values.update(zip(rest, self._encode([" " + w for w in rest])))
-        return values
-
-    def _encode(self, pieces: Iterable[str]) -> list:
-        out = []
-        for batch in balanced_batches(pieces):
-            encodings = self.encode(batch, add_special_tokens=False)
-            out += [len(x) for x in encodings] if self.lengths_only else [np.array(x.ids, "<u4").tobytes() for x in encodings]
-        return out
-
-    def encode_texts(self, texts: list[str | None]) -> list:
-        """Per text the number of tokens, or the ids as little-endian 32-bit bytes."""
-        out: list = [[] for _ in texts]
-        group: list[tuple[int, str, bool]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            for part, cut in safe_chunks(text or ""):
-                group.append((i, part, cut))
-                held += len(part)
-                if held > CHUNK_CHARS:
-                    self._flush(group, out)
-                    group, held = [], 0
-        self._flush(group, out)
-        return [sum(x) if self.lengths_only else b"".join(x) for x in out]
-
-    def _learn(self, new: set[str]) -> dict:
-        """Values of pieces the memo lacks; a word's end marks are encoded apart from it."""
-        memo, split, stems, tails = self.memo, {}, set(), set()
-        for p in new:
-            if found := WORD_AND_MARKS.fullmatch(p):
-                split[p] = found.groups()
-                tails.add(found[2])
-            stem = found[1] if found else p
-            if stem not in memo:
-                stems.add(stem)
-        values = self._encode_words(stems)
-        ends = dict(zip(tails, self._encode(tails)))
-        for p, (stem, tail) in split.items():
-            values[p] = (values[stem] if stem in values else memo[stem]) + ends[tail]
-        return values
-
-    def _flush(self, group: list[tuple[int, str, bool]], out: list) -> None:
-        """Encode the parts of texts in group; what the memo lacks is encoded together."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo, new, kept = self.memo, set(), []
-        for i, part, cut in group:
-            pieces = part.split(" ")
-            head = None if cut else pieces.pop(0)
-            got = list(map(memo.get, pieces))
-            if None in got:
-                unknown = {p for p, v in zip(pieces, got) if v is None}
-                if any(not p or p[0].isspace() or p[-1].isspace() for p in unknown):
-                    pieces = SAFE_CUT.split(part)  # runs of white space: cut at safe places alone
-                    head = None if cut else pieces.pop(0)
-                    got = list(map(memo.get, pieces))
-                    unknown = {p for p, v in zip(pieces, got) if v is None}
-                new |= unknown
-            kept.append((i, head, pieces, got))
-        values = self._learn(new)
-        memo.update((p, v) for p, v in values.items() if len(p) <= MEMO_CHARS and not (p[:1].isspace() or p[-1:].isspace()))
-        first = iter(self._encode([head for _, head, _, _ in kept if head is not None]))
-        for i, head, pieces, got in kept:
-            if head is not None:
-                out[i].append(next(first))
-            if None in got:
-                got = [values[p] if v is None else v for p, v in zip(pieces, got)]
-            if self.lengths_only:
-                out[i].append(sum(got))
-            else:
-                out[i] += got
-
-
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
-def encoder(path: str, lengths_only: bool = True) -> PieceEncoder:
-    """This worker process's encoder, whose memo lasts from task to task."""
-    key = (path, lengths_only)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, lengths_only)
-    return _encoders[key]
+        last = found.start()
+        # The last safe cut within the limit, else the first one.
+        for found in SAFE_CUT.finditer(text, last, at + limit):
+            if size_of(text[at : found.start()]) > limit:
+                break
+            last = found.start()
+        yield text[at:last]
+        at = last
+    yield text[at:]
+
+
+def library(path: str) -> tuple[Callable[[list[str]], list], bool]:
+    """The batch call of the library that a vocabulary file is for, and whether texts may be split for it."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: pieces.encode(texts, num_threads=1), False
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks, not threads, use the cores
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    return lambda texts: [x.ids for x in encode(texts, add_special_tokens=False)], True
+
+
+def count_texts(encode: Callable[[list[str]], list], split: bool, texts: Iterable[str | None]) -> np.ndarray:
+    """Numbers of tokens of texts; null counts as empty."""
+    texts = list(texts)
+    out = np.zeros(len(texts), np.int64)
+    parts = ((i, part) for i, text in enumerate(texts) if text for part in (safe_parts(text) if split else (text,)))
+    for batch in balanced_batches(parts):
+        lengths = [len(ids) for ids in encode([part for _, part in batch])]
+        np.add.at(out, [i for i, _ in batch], lengths)
+    return out
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -200,16 +95,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     A null text counts as empty (0 bytes, 0 tokens).  Null keys, repeated rows and ties stay as they
     are, one output row per input row; other columns are ignored, whatever their names; an empty
-    table gives an empty one.  Very long texts are encoded in chunks cut at safe boundaries.
+    table gives an empty one.  Very long texts are encoded in parts cut at safe boundaries.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = encoder(tokenizer_path).encode_texts
+        encode, split = library(tokenizer_path)
         for batch in batches:
-            counts = pa.array(lengths(batch.column(1).to_pylist()), pa.int64())
+            counts = pa.array(count_texts(encode, split, batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["k", "n_bytes", "n_tokens"])
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("b"))
     kind = slim.schema["k"].dataType.simpleString()
-    counted = slim.mapInArrow(count, f"k {kind}, n_bytes long, n_tokens long")
+    counted = slim.mapInArrow(textcore.lean(count), f"k {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

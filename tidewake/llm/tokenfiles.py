@@ -1,7 +1,7 @@
 """Token-id files with a minimal perfect hash index from document keys to their ids.
 
 ``shard-*.ids`` hold raw little-endian ids (16 bits wide where the vocabulary allows, else 32), all
-documents in ascending key order.  ``index-*.mph`` hold, per bucket of hashed keys, a minimal
+documents in ascending key order, and behind them their number.  ``index-*.mph`` hold, per bucket of hashed keys, a minimal
 perfect hash (levels of bit arrays; a key's rank among the set bits is its slot) and per slot a
 stored fingerprint, the shard, the offset and the number of ids: a keyed read takes one bucket, a
 few bits and one slot, whatever the number of documents.
@@ -23,15 +23,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm import tokencount
+from tidewake.llm import textcore, tokenids
 from tidewake.llm.textcore import mix
 from tidewake.llm.workspace import Workspace
 
 MAGIC = b"TWIDS1\0\0"
 END_ID = 1
-#: Bytes of text per shard and keys per index bucket that are aimed at.
+#: Bytes of text per shard and keys per index bucket that are aimed at; there are at most MOST_FILES of either.
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 1 << 16
+MOST_FILES = 20_000
 GAMMA = 2.0
 
 
@@ -169,16 +170,18 @@ class TokenFiles:
         wide = Tokenizer.from_file(self.path).get_vocab_size(with_added_tokens=True) > 1 << 16
         kind = "<u4" if wide else "<u2"
         size = self.docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).collect()[0]
-        shards = max(1, -(-size["b"] // SHARD_BYTES), -(-size["n"] // (1 << 20)))
-        folder, path, end = self.folder, self.path, np.array([self.end], "<u4").tobytes()
+        shards = min(MOST_FILES, max(1, -(-size["b"] // SHARD_BYTES), -(-size["n"] // (1 << 20))))
+        folder, path, end = self.folder, self.path, self.end
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_of = tokencount.encoder(path, False).encode_texts
+            encoder = tokenids.IdEncoder(path)
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in ids_of(part.column(1).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["k", "ids"])
+                for part, texts in textcore.text_groups(batch, 1):
+                    ids, at = encoder.texts(texts)
+                    ids = np.insert(ids, at[1:], end).astype(kind)
+                    at = (at + np.arange(len(at))) * ids.itemsize
+                    column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), column], ["k", "ids"])
 
         # Keys alone set the bounds of the shards, so that texts are read and encoded once.
         bounds = self._bounds(shards)
@@ -186,7 +189,7 @@ class TokenFiles:
         if bounds:
             shared = F.array(*[F.lit(int(b)) for b in bounds]) if len(bounds) <= 64 else None
             at = F.size(F.filter(shared, lambda b: b <= F.col("k"))) if shared is not None else None
-        encoded = self.docs.mapInArrow(encode, "k long, ids binary")
+        encoded = self.docs.mapInArrow(textcore.lean(encode), "k long, ids binary")
         if at is None:
             marks = self.spark.sparkContext.broadcast(np.array(bounds, np.int64))
 
@@ -209,6 +212,7 @@ class TokenFiles:
 
             def close() -> None:
                 if stream is not None:
+                    stream.write(struct.pack("<Q", written))
                     stream.close()
                     files.move(own, f"{base}/shard-{now:06d}.ids")
 
@@ -229,6 +233,7 @@ class TokenFiles:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], ["k", "shard", "offset", "n"])
             close()
 
+        self.shards = count
         placed = self.work.save(ordered.mapInArrow(store, "k long, shard long, offset long, n long"), "placed")
         self._index(placed, size["n"])
         return placed
@@ -242,7 +247,7 @@ class TokenFiles:
 
     def _index(self, placed: DataFrame, rows: int) -> None:
         """One file per bucket of keys; of rows with the same key the first one is found."""
-        self.buckets = max(1, -(-rows // BUCKET_KEYS))
+        self.buckets = min(MOST_FILES, max(1, -(-rows // BUCKET_KEYS)))
         folder, buckets = self.folder, self.buckets
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +283,27 @@ class TokenFiles:
         slim = keys.select("k").filter("k IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("long"))
         return slim.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "k long, shard long, offset long, n long")
 
+    def starts(self) -> DataFrame:
+        """(shard, base): ids in all shards before each, from the numbers that the shards end in; at most MOST_FILES rows."""
+        folder = self.folder
+
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, base = _files(folder)
+            for batch in batches:
+                counts = []
+                for s in batch.column(0).to_pylist():
+                    info = files.get_file_info(f"{base}/shard-{s:06d}.ids")
+                    if info.type != pafs.FileType.File:  # no document fell into this shard
+                        counts.append(0)
+                        continue
+                    with files.open_input_file(info.path) as source:
+                        counts.append(struct.unpack("<Q", source.read_at(8, info.size - 8))[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["shard", "n"])
+
+        found = sorted(map(tuple, self.spark.range(self.shards).toDF("shard").mapInArrow(last, "shard long, n long").collect()))
+        before = np.cumsum([0] + [n for _, n in found]).tolist()
+        return self.spark.createDataFrame([(s, b) for (s, _), b in zip(found, before)], "shard long, base long")
+
     def read_back(self, places: DataFrame) -> DataFrame:
         """(k, shard, offset, n, ids_crc32) read from the shards at the given places."""
         folder = self.folder
@@ -312,12 +338,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     """
     files = TokenFiles(docs, tokenizer_path, folder, key, text, end_id)
     placed = files.write()
-    totals = placed.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
-    starts, before = [], 0
-    for row in totals:
-        starts.append((row["shard"], before))
-        before += row["n"]
-    base = files.spark.createDataFrame(starts, "shard long, base long")
+    base = files.starts()
     # By key through the index; what a key does not find (null or repeated keys) by its place.
     keyed = files.look_up(placed.select("k").filter("k IS NOT NULL").distinct())
     others = placed.join(keyed.select("shard", "offset"), ["shard", "offset"], "left_anti").select("k", "shard", "offset", "n")
