@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -66,16 +67,46 @@ def test_leaks_edited_often_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 30
 
 
+def licence_windows(text):
+    """Per licence the best (dice, first word, words) of all windows that begin at a template's bigram."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).strip().split(" ")
+    best = {}
+    for name, template in licenses.TEMPLATES:
+        grams, long = set(licenses.template_bigrams(template)), len(licenses.template_words(template))
+        for at in range(len(words) - 1):
+            window = words[at : at + long]
+            own = set(zip(window, window[1:]))
+            dice = 2 * len({f"{a} {b}" for a, b in own} & grams) / (len(own) + len(grams))
+            if dice >= 0.8 and " ".join(words[at : at + 2]) in grams:
+                best[name] = max(best.get(name, (0, 0, 0)), (dice, -at, len(window)))
+    return {(name, round(d, 6), -at, n) for name, (d, at, n) in best.items()}
+
+
 def test_license_scan(spark):
-    texts = [(1, "x y\nReleased under the MIT License.\nfoo"), (2, "This work is licensed under the GNU General Public License version 3"), (3, "nothing here at all"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "x y\nReleased under the MIT License.\nfoo"), (6, " ".join(["filler"] * 200) + ". Released under the MIT License. " + " ".join(["filler"] * 200))]
-    df = spark.createDataFrame([(k, t, "c") for k, t in texts], "doc_id long, text string, license string")
-    got = {(r["doc_id"], r["license"]) for r in licenses.license_matches(df).collect()}
-    assert got == {(1, "MIT"), (2, "GPL-3.0"), (None, "CC-BY-NC-4.0"), (6, "MIT")}
+    rng = random.Random(11)
+    mit = licenses.TEMPLATES[-2][1].split()
+    wrapped = "\n * ".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    edited = " ".join("changed" if rng.random() < 0.08 else w for w in mit)
+    gpl = dict((n, t) for n, t in licenses.TEMPLATES if n == "GPL-3.0")["GPL-3.0"]
+    texts = [
+        (1, "x y\nReleased under the MIT License.\nfoo"),
+        (2, "This work is licensed under the GNU General Public License version 3"),
+        (3, "nothing here at all"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "x y\nReleased under the MIT License.\nfoo"),
+        (6, " ".join(["filler"] * 200) + ". Released under the MIT License. " + " ".join(["filler"] * 200)),
+        (7, "Copyright 2020 X. " + " ".join(words(rng, 14)) + " Released under the MIT License. All rights reserved. " + " ".join(words(rng, 12))),
+        (8, "/*\n * " + wrapped + "\n */ int main"), (9, " ".join(words(rng, 30)) + " " + edited), (10, "the of in under " * 60),
+        (11, " ".join(words(rng, 9)) + " " + gpl.replace("; ", ";\n") + " " + gpl), (12, " ".join(words(rng, 60_000)) + " licensed under CC BY-NC 4.0"),
+    ]
+    df = spark.createDataFrame([(k, t, "c", 1) for k, t in texts], "doc_id long, text string, license string, dice int")
+    got = sorted(((r["doc_id"], r["license"], round(r["dice"], 6), r["first_word"], r["n_words"]) for r in licenses.license_matches(df).collect()), key=str)
+    assert got == sorted(((k, *found) for k, t in texts if t for found in licence_windows(t)), key=str)
+    assert {(k, name) for k, name, *_ in got} == {(1, "MIT"), (2, "GPL-3.0"), (None, "CC-BY-NC-4.0"), (6, "MIT"), (7, "MIT"), (8, "MIT"), (9, "MIT"), (11, "GPL-3.0"), (11, "LGPL-2.1"), (12, "CC-BY-NC-4.0")}
+    assert sum(k == 1 for k, *_ in got) == 2
     assert licenses.license_matches(df.limit(0)).count() == 0
     for _, text in licenses.TEMPLATES:
         grams = licenses.template_bigrams(text)
         anchors = set(licenses.anchor_words(grams))
-        assert sum(not set(g.split()) & anchors for g in grams) < len(grams) * 0.8 / 1.2
+        assert sum(not set(g.split(" ")) & anchors for g in grams) < licenses.needed(len(grams))
 
 
 def test_url_rules_and_links(spark):

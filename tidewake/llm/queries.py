@@ -39,8 +39,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.license_matches(table(spark, sf_dir, "documents"))
-    return found.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("segments"))
+    return licenses.license_matches(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +99,17 @@ SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_ma
 """
 
 OP6_SQL = """
-WITH templates AS (SELECT * FROM (VALUES %s) AS t(license, grams)),
-cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-sized AS (SELECT doc_id, line, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM cut),
-longer AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS line FROM sized WHERE len(string_split(norm, ' ')) > (SELECT max(len(grams)) FROM templates) * 1.5 + 1),
-segments AS (SELECT doc_id, line, norm FROM sized UNION ALL
-  SELECT doc_id, line, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) FROM longer),
-words AS (SELECT DISTINCT doc_id, line, string_split(norm, ' ') AS w FROM segments WHERE norm <> ''),
-grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
-scored AS (SELECT doc_id, license, line, max(2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams))) AS dice FROM grams, templates WHERE len(g) BETWEEN 1 AND len(grams) * 3 GROUP BY ALL)
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM scored WHERE dice >= 0.8 GROUP BY doc_id, license
-""" % ", ".join("('%s', [%s])" % (name, ", ".join(f"'{g}'" for g in licenses.template_bigrams(text))) for name, text in licenses.TEMPLATES)
+WITH templates AS (SELECT * FROM (VALUES %s) AS t(tid, license, long, grams)),
+template_grams AS (SELECT tid, unnest(grams) AS gram FROM templates),
+words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text <> ''),
+texts AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM words WHERE len(w) > 1),
+places AS (SELECT doc_id, unnest(range(0, len(g))) AS pos, unnest(g) AS gram FROM texts),
+starts AS (SELECT doc_id, pos, tid FROM places JOIN template_grams USING (gram)),
+windows AS (SELECT s.doc_id, license, pos, long, grams, len(g) AS total, list_distinct(g[pos + 1:pos + long - 1]) AS own FROM starts s JOIN texts USING (doc_id) JOIN templates USING (tid)),
+scored AS (SELECT doc_id, license, pos, least(long, total + 1 - pos) AS n_words, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM windows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, pos, n_words DESC) AS r FROM scored WHERE dice >= 0.8)
+SELECT doc_id, license, round(dice, 6) AS dice, CAST(pos AS BIGINT) AS first_word, CAST(n_words AS BIGINT) AS n_words FROM ranked WHERE r = 1
+""" % ", ".join("(%d, '%s', %d, [%s])" % (i, name, len(licenses.template_words(text)), ", ".join(f"'{g}'" for g in licenses.template_bigrams(text))) for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,

@@ -51,12 +51,15 @@ CANDIDATES = 600
 APART = 0.8
 #: Part of the labelled sample that is kept from the machine for the logistic: one in so many.
 KEPT_BACK = 4
+#: Subsequences that are looked up at once.
+CELLS = 1 << 16
 #: Slots of the table of word values that a task remembers.
 SLOTS = 1 << 20
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum())
+    word = word.lower()
+    return word if word.isalnum() else "".join(filter(str.isalnum, word))
 
 
 def codes(words: list[str], width: int = WINDOW) -> np.ndarray:
@@ -96,16 +99,64 @@ def own_weight(a: np.ndarray) -> np.ndarray:
     return np.maximum(kernel(a, a, pairs=True), 1e-12)
 
 
-def normal_kernel(a: np.ndarray, b: np.ndarray, b_own: np.ndarray | None = None, block: int = 512) -> np.ndarray:
-    """Normalised kernel of all rows of a with all rows of b, in blocks that fit the caches."""
-    b_own = own_weight(b) if b_own is None else b_own
-    out = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort((a != 0).sum(1), kind="stable")
-    for s in range(0, len(a), block):
-        rows = order[s : s + block]
-        part = a[rows]
-        out[rows] = kernel(part, b) / np.sqrt(own_weight(part)[:, None] * b_own[None])
-    return out
+class Landmarks:
+    """Strings as vectors over their subsequences of ORDER (3) letters, to which others are compared.
+
+    A string of n letters has n choose 3 of them, each weighed by DECAY to the power of its span.
+    Only those that some landmark has count, so few are left of most strings.
+    """
+
+    def __init__(self, strings: np.ndarray):
+        self.count = len(strings)
+        alphabet = np.unique(strings[strings != 0])
+        self.alphabet, self.base = alphabet, len(alphabet) + 1
+        found = []
+        for rows, triple, weight in self._subsequences(strings):
+            at = np.repeat(rows, triple.shape[1])
+            found.append((triple.ravel(), at, np.tile(weight, len(rows))))
+        triple, owner, weight = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+        names, place = np.unique(triple, return_inverse=True)
+        self.table = np.full(self.base**ORDER, -1, np.int32)
+        self.table[names.astype(np.int64)] = np.arange(len(names))
+        self.vectors = np.zeros((len(names), self.count), np.float32)
+        np.add.at(self.vectors, (place, owner.astype(np.int64)), weight)
+        self.vectors /= np.sqrt(own_weight(strings))[None]
+
+    def _subsequences(self, strings: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By lengths, in groups of bounded size: rows, their subsequences' numbers (-1 with a letter unknown here), and the weights."""
+        lengths = (strings != 0).sum(1)
+        place = np.searchsorted(self.alphabet, strings)
+        known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == strings if len(self.alphabet) else np.zeros(strings.shape, bool)
+        code = np.where(known, place + 1, 0)
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            i, j, k = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)]).T
+            weight = np.float32(DECAY) ** (k - i + 1).astype(np.float32)
+            rows = np.flatnonzero(lengths == n)
+            step = max(1, CELLS // len(i))
+            for group in (rows[a : a + step] for a in range(0, len(rows), step)):
+                c = code[group]
+                x, y, z = c[:, i], c[:, j], c[:, k]
+                yield group, np.where((x > 0) & (y > 0) & (z > 0), (x * self.base + y) * self.base + z, -1), weight
+
+    def kernel(self, strings: np.ndarray) -> np.ndarray:
+        """The normalised kernel of strings with all landmarks."""
+        out = np.zeros((len(strings), self.count), np.float32)
+        if not len(self.vectors):
+            return out
+        for rows, triple, weight in self._subsequences(strings):
+            name = np.where(triple >= 0, self.table[triple], -1)
+            line, column = np.nonzero(name >= 0)
+            if len(line):
+                parts = self.vectors[name[line, column]] * weight[column, None]
+                begin = np.flatnonzero(np.concatenate(([True], np.diff(line) > 0)))
+                out[rows[line[begin]]] = np.add.reduceat(parts, begin, axis=0)
+        own = np.concatenate([np.empty(0, np.float32)] + [own_weight(strings[a : a + 4096]) for a in range(0, len(strings), 4096)])
+        return out / np.sqrt(own)[:, None]
+
+
+def normal_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normalised kernel of all rows of a with all rows of b."""
+    return Landmarks(b).kernel(a)
 
 
 def word_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,6 +179,9 @@ class Model:
     bias: float
     logistic: tuple[float, float, float] = (4.0, 0.0, 0.0)
 
+    def __post_init__(self):
+        self.index = Landmarks(codes(self.landmarks))
+
     def of_words(self, words: list[str]) -> np.ndarray:
         """What each word adds to its sentence's value; of a long word the highest window."""
         if not self.landmarks:
@@ -145,7 +199,7 @@ class Model:
         parts = [w for group in groups for w in group]
         out = np.full(len(groups), -np.inf)
         if parts:
-            values = normal_kernel(codes(parts), codes(self.landmarks)) ** POWER @ self.weights
+            values = self.index.kernel(codes(parts)) ** POWER @ self.weights
             np.maximum.at(out, np.repeat(np.arange(len(groups)), [len(g) for g in groups]), values)
         return out
 
@@ -255,7 +309,7 @@ class Sentences:
     def sums(self, of_word: np.ndarray) -> np.ndarray:
         """Per sentence the sum of its words' rows."""
         out = np.empty((len(self.start), *of_word.shape[1:]), of_word.dtype)
-        step = 20_000
+        step = 4_000
         edges = np.append(self.start, len(self.word))
         for a in range(0, len(self.start), step):
             b = min(a + step, len(self.start))
@@ -310,8 +364,8 @@ def train_machine(sentences: Sentences, ridge: float = 1e-4, count: int = LANDMA
         gram = kernels[chosen].astype(float)
         vals, vecs = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(chosen)))
         root = vecs / np.sqrt(np.maximum(vals, 1e-6)) @ vecs.T
-        z = np.hstack((sentences.sums(kernels).astype(float) @ root, np.ones((len(y), 1))))
-        beta = newton(z[use], y[use], weight[use], ridge)
+        z = np.hstack((sentences.sums(kernels) @ root.astype(np.float32), np.ones((len(y), 1), np.float32)))
+        beta = newton(z, y, np.where(use, weight, 0.0), ridge)
         value = z @ beta
         # The witness of each toxic text: the sentence of the highest value.
         order = np.lexsort((-value, sentences.text))
@@ -330,17 +384,28 @@ def newton(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np
     """Weights that minimise sum(weight * hinge^2) + ridge * |w|^2, the last one a free bias."""
     beta = np.zeros(z.shape[1])
     keep = np.diag([ridge] * (z.shape[1] - 1) + [1e-9])
-    loss = lambda b: (weight * np.maximum(0, 1 - y * (z @ b)) ** 2).sum() + b @ keep @ b
+    chunks = [slice(a, a + 4096) for a in range(0, len(z), 4096)]
+
+    def values(b: np.ndarray) -> np.ndarray:
+        return np.concatenate([z[c].astype(float) @ b for c in chunks])
+
+    def loss(b: np.ndarray) -> float:
+        return float((weight * np.maximum(0, 1 - y * values(b)) ** 2).sum() + b @ keep @ b)
+
     for _ in range(50):
-        slack = np.maximum(0, 1 - y * (z @ beta))
-        active = slack > 0
-        hess = (z[active] * weight[active, None]).T @ z[active] + keep
-        step = np.linalg.solve(hess, (z[active] * weight[active, None]).T @ (y[active] * slack[active]) - keep @ beta)
+        slack = weight * np.maximum(0, 1 - y * values(beta))
+        active = weight * (slack > 0)
+        curve, pull = keep.copy(), -keep @ beta
+        for c in chunks:
+            part = z[c].astype(float)
+            curve += (part * active[c, None]).T @ part
+            pull += part.T @ (y[c] * slack[c])
+        step = np.linalg.solve(curve, pull)
         size, now = 1.0, loss(beta)
         while size > 1e-4 and loss(beta + size * step) > now:
             size /= 2
         beta = beta + size * step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
     return beta
 

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; where none is set, a temporary folder in local mode (tests), an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the socket.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
