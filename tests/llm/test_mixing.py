@@ -80,3 +80,32 @@ def test_tables_that_one_document_dominates(spark, sizes):
     df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
     got = {r["key"]: r["rounds"] for r in mixing.mix(df).collect() if r["rounds"]}
     assert got == mix_by_hand(rows)[0] and sum(n * got.get(i, 0) for i, _, n in rows) <= sum(n for *_, n in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_dominant_document_does_not_lift_the_budget(spark, monkeypatch, seed):
+    """One document as large as its source's neighbours together; the cut may lie in any round."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    rng = random.Random(seed)
+    rows = [(0, "a", 300)] + [(i, "b", 1) for i in range(1, 101)] if seed == 0 else [(i, rng.choice("abc"), rng.choice([1, 7, 2000])) for i in range(rng.choice([1, 2, 9, 40]))]
+    if seed == 0:
+        rows = [(i, {"a": "a", "b": "c"}[s], n) for i, s, n in rows] + [(500, "b", 0)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    taken, _ = mix_by_hand(rows)
+    got = {r["key"]: r["rounds"] for r in mixing.mix(df).collect()}
+    assert {k: n for k, n in got.items() if n} == taken
+    assert sum(got[k] * n for k, _, n in rows) <= sum(n for _, _, n in rows)
+
+
+def test_the_mix_stands_in_the_order_of_finish_times(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aab"), rng.choice([1, 5, 9])) for i in range(300)]
+    df = spark.createDataFrame([(i, s, "w " * n, "x") for i, s, n in rows] + [(None, "a", "v w", "x"), (None, "a", "v u", "x")], "doc_id long, source string, text string, due string")
+    due = {(r["key"], k): r["due"] + k * r["lap"] for r in mixing.mix(df).collect() if r["key"] is not None for k in range(3)}
+    mixed, seen, times = mixing.mixed_documents(df), {}, []
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        if r["doc_id"] is not None:
+            times.append(due[r["doc_id"], seen.get(r["doc_id"], 0)])
+            seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
+    assert times == sorted(times) and len(times) > 100

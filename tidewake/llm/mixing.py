@@ -5,6 +5,10 @@ time: the source's tokens so far, this document included, divided by the source'
 and third round over a source go on counting.  All (document, round) rows in the order of their
 finish times, cut where the total budget is used up, are the mix; each source then holds its target
 to within one document.
+
+The cut is found without one long window: sums over steps of finish times, then over finer steps of
+the step in which the budget ends, until that one holds few rows.  The documents of the mix are
+range-sorted over the cluster by finish time.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ MOST_ROUNDS = 3
 WEIGHTS = (1, 2, 3)
 #: Leading hex digits of the shuffle key that split a source's running sum into slices.
 SLICE_DIGITS = 3
-#: Finish times are cut into so many steps to find the one in which the budget ends.
+#: A unit of finish time is cut into so many steps, each of them again, LEVELS times at most, until the
+#: step in which the budget ends holds at most so many rows.
 STEPS = 4096
+LEVELS = 4
+EDGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,8 +60,10 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
-    slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    slim = slim.withColumn("dice", F.md5(F.concat_ws("/", F.lit(seed), F.col("key").cast("string")).cast("binary"))).withColumn("slice", F.substring("dice", 1, SLICE_DIGITS))
+    # Rows without a key are shuffled by their texts.
+    named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null/"), F.xxhash64(F.col(text)).cast("string")))
+    slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.concat_ws("/", F.lit(seed), named).cast("binary")).alias("dice"))
+    slim = slim.withColumn("slice", F.substring("dice", 1, SLICE_DIGITS))
     slices = slim.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
     before = F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
@@ -73,46 +82,55 @@ def _due(round_: Column | int) -> Column:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """One slim row per document: key, source, size, copy, source_size, target and rounds.
+    """One slim row per document: key, source, size, copy, source_size, target, rounds, due and lap.
 
     ``rounds`` is how often the mix takes the document, 0 to MOST_ROUNDS; ``copy`` tells apart rows
-    alike in key, source and size.  Null texts have size 0 and are never taken; a null source is a
-    source of its own, last in order; null keys are shuffled like any other; columns beyond the
-    three named do not matter, whatever their names; an empty table gives an empty one.
+    alike in key, source and size; ``due`` is the virtual finish time in the first round, ``lap`` what
+    each further round adds.  Null texts have size 0 and are never taken; a null source is a source
+    of its own, last in order; null keys are shuffled like any other; columns beyond the three named
+    do not matter, whatever their names; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "mix")
     placed = work.save(_placed(docs, key, text, source, seed), "placed")
     taking = (F.col("size") > 0) & (F.col("target") > 0)
-    steps = F.array(*[F.floor(_due(r) * STEPS) for r in range(MOST_ROUNDS)])
-    dealt = placed.filter(taking).select("size", "budget", F.explode(steps).alias("step"))
+    rounds = placed.filter(taking).withColumn("round", F.explode(F.array(*[F.lit(r) for r in range(MOST_ROUNDS)]))).withColumn("due", _due(F.col("round")))
+
+    def step(level: int, due: Column) -> Column:
+        return F.floor(due * float(STEPS**level))
 
-    def ending(rows: DataFrame) -> list:
-        sums = rows.groupBy("step").agg(F.sum("size").alias("own"), F.max("budget").alias("budget"))
-        sums = sums.withColumn("used", F.sum("own").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)) - F.col("own"))
+    def ending(rows: DataFrame, level: int, used: int) -> list:
+        sums = rows.groupBy(step(level, F.col("due")).alias("step")).agg(F.sum("size").alias("own"), F.count("*").alias("rows"), F.max("budget").alias("budget"))
+        sums = sums.withColumn("used", F.sum("own").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)) - F.col("own") + used)
         return sums.filter(F.col("used") + F.col("own") > F.col("budget")).orderBy("step").limit(1).collect()
 
     # The budget nearly always ends by the time that sources meet their targets; where one document dominates, in a later round.
-    found = ending(dealt.filter(F.col("step") <= STEPS + STEPS // 2)) or ending(dealt)
+    level = 1
+    found = ending(rounds.filter(F.col("due") <= 1.5), level, 0) or ending(rounds, level, 0)
+    while found and found[0]["rows"] > EDGE_ROWS and level < LEVELS:
+        inside = rounds.filter(step(level, F.col("due")) == found[0]["step"])
+        level += 1
+        found = ending(inside, level, found[0]["used"])
     # Without a cut all rounds fit the budget.  Else all rows of the steps before the cut fit; those of the step at the cut are summed in order.
     cut, used = (found[0]["step"], found[0]["used"]) if found else (None, 0)
-    edge = placed.filter(taking).withColumn("round", F.explode(F.array(*[F.lit(r) for r in range(MOST_ROUNDS)])))
-    edge = edge.withColumn("due", (F.col("tokens") + F.col("round") * F.col("source_size")) / F.col("target")).filter(F.floor(F.col("due") * STEPS) == F.lit(cut).cast("long"))
+    edge = rounds.filter(step(level, F.col("due")) == F.lit(cut).cast("long"))
     in_order = W.partitionBy(F.lit(0)).orderBy("due", F.col("source").asc_nulls_last(), "dice", "key", "size", "copy").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("sum", F.sum("size").over(in_order) + used).filter(F.col("sum") <= F.col("budget"))
     edge = edge.groupBy("key", "source", "size", "copy").agg(F.count("*").alias("more"))
-    sure = F.lit(MOST_ROUNDS).cast("long") if cut is None else sum((F.floor(_due(r) * STEPS) < cut).cast("long") for r in range(MOST_ROUNDS))
+    sure = F.lit(MOST_ROUNDS).cast("long") if cut is None else sum((step(level, _due(r)) < cut).cast("long") for r in range(MOST_ROUNDS))
     whole = placed.withColumn("sure", F.when(taking, sure).otherwise(0))
     keys = ("key", "source", "size", "copy")
     both = whole.alias("a").join(edge.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
-    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "source_size", "target", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("rounds"))
+    lap = F.try_divide(F.col("source_size"), F.col("target"))
+    due = F.try_divide(F.col("tokens"), F.col("target"))
+    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "source_size", "target", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("rounds"), due.alias("due"), lap.alias("lap"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """The documents of the mix, with docs' own columns; one taken n times stands in n rows."""
+    """The documents of the mix, with docs' own columns, range-sorted by finish time; one taken n times stands in n rows."""
     rounds = mix(docs, key, text, source, seed).filter("rounds > 0")
     sized = docs.withColumn("__size", word_count(F.col(text)))
     same = W.partitionBy(key, source, "__size").orderBy(F.xxhash64(text))
     sized = sized.withColumn("__copy", F.row_number().over(same))
     on = [F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}")) for a, b in ((key, "key"), (source, "source"), ("__size", "size"), ("__copy", "copy"))]
     both = sized.alias("a").join(rounds.alias("b"), on).withColumn("__round", F.explode(F.sequence(F.lit(1), F.col("b.rounds"))))
-    return both.select(*[F.col(f"a.{c}") for c in docs.columns])
+    return both.orderBy(F.col("b.due") + (F.col("__round") - 1) * F.col("b.lap"), F.col("b.key"), F.col("b.copy"), "__round").select(*[F.col(f"a.{c}") for c in docs.columns])
