@@ -17,8 +17,9 @@ pivots; links found are contracted, and only nodes of different components meet
 the pairs left between components are no more than a further round would compare, each of them is
 compared: after at most as many rounds as the longest posting has binary digits.
 
-Keys that hold many rows (signatures, pivots, sets of mass copies) are salted: a row of theirs goes
-to one of several tasks, the few rows that it meets go to all of them.
+Signatures that many nodes have are salted: a row of theirs goes to one of several tasks, the few
+rows that it meets go to all of them.  Other joins on keys that may be hot (pivots, mass copies) end
+in their join, so that adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import textcore
 from tidewake.llm.components import connected_components
-from tidewake.llm.skew import salted_join
+from tidewake.llm.skew import hot_keys, salted_join
 from tidewake.llm.workspace import Workspace
 
 FREQUENT_FROM = 16
@@ -205,15 +206,14 @@ class JaccardJoin:
         keys = self.work.save(nodes.join(wanted, "fp", "left_semi").select("k").distinct(), f"{name}-keys")
         found = self._whole_sets(keys)
         found = self.work.save(found, name)
+        self.work.drop(f"{name}-keys")
         return found if known is None else known.union(found)
 
     def _verify(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """All pairs with whether they link."""
         first = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
         second = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
-        with_a = salted_join(pairs, first, "a", "b", self.work, f"{name}-a")
-        both = F.size(F.array_intersect("at", "bt"))
-        with_b = salted_join(with_a, second, "b", "a", self.work, f"{name}-b", counted=pairs).select("a", "b", "an", "bn", both.alias("both"))
+        with_b = pairs.join(first, "a").join(second, "b").select("a", "b", "an", "bn", F.size(F.array_intersect("at", "bt")).alias("both"))
         linked = with_b.select("a", "b", (100 * F.col("both") >= self.percent * (F.col("an") + F.col("bn") - F.col("both"))).alias("linked"))
         return self.work.save(linked, name)
 
@@ -222,7 +222,7 @@ class JaccardJoin:
         parts = rows.groupBy("sign", "component").agg(F.count("*").alias("m"), F.min("n").alias("low"))
         return parts.groupBy("sign").agg(F.min("low").alias("low"), F.max_by("component", "m").alias("major"), F.count("*").alias("components")).filter("components > 1").drop("components")
 
-    def _pivots(self, rows: DataFrame, count: int, k: int) -> DataFrame:
+    def _pivots(self, rows: DataFrame, count: int, k: int, hot: DataFrame | None) -> DataFrame:
         """(sign, pivots): about ``count`` nodes of different components in each posting, the one that reaches farthest among them."""
         ahead = F.min(F.struct((-F.col("reach")).alias("back"), F.col("n"), F.col("fp"), F.col("component")))
         heads = rows.groupBy("sign", "component").agg(ahead.alias("head"))
@@ -230,7 +230,7 @@ class JaccardJoin:
         if count == 1:
             return first.select("sign", F.array("first").alias("pivots"))
         # A component's node is drawn with the chance count / components, the same on each run.
-        heads = salted_join(heads, first, "sign", "component", self.work, f"heads-{k}")
+        heads = salted_join(heads, first, "sign", "component", hot)
         drawn = F.pmod(F.xxhash64("sign", "component", F.lit(k)), F.lit(1 << 20)) * F.col("components") < count * (1 << 20)
         heads = heads.filter(drawn | (F.col("head") == F.col("first")))
         return heads.groupBy("sign").agg(F.collect_list("head").alias("pivots"))
@@ -247,11 +247,12 @@ class JaccardJoin:
         self.work.drop("nodes-with-tokens")
         rows = self.work.save(self._postings(self._signatures(frequent)).withColumn("component", F.col("fp")), "postings")
         self.work.drop("signed")
+        hot = hot_keys(rows, "sign", self.work, "hot-signs")
         done = sets = components = None
         k, count, last = 0, PIVOTS, False
         while not last:
             # A row that reaches too little for the posting's least size links with none of it.
-            rows = salted_join(rows, self._crossing(rows), "sign", "fp", self.work, f"crossing-{k}")
+            rows = salted_join(rows, self._crossing(rows), "sign", "fp", hot)
             least = F.greatest(F.col("low"), F.ceil(F.col("n") * self.percent / 100))
             rows = rows.filter(F.lit(100 + self.percent) * F.col("reach") >= self.percent * (F.col("n") + least))
             rows = self.work.save(rows.select("sign", "fp", "n", "reach", "component", "major"), f"rows-{k}")
@@ -265,18 +266,23 @@ class JaccardJoin:
             if last:
                 x = rows.filter("component != major").select("sign", F.struct((-F.col("reach")).alias("back"), "n", "fp", "component").alias("x"))
             else:
-                x = self._pivots(rows, count, k).select("sign", F.explode("pivots").alias("x"))
+                x = self._pivots(rows, count, k, hot).select("sign", F.explode("pivots").alias("x"))
             x = x.select("sign", F.struct(F.col("x.fp").alias("fp"), F.col("x.n").alias("n"), (-F.col("x.back")).alias("reach"), F.col("x.component").alias("component")).alias("x"))
-            met = salted_join(y, x, "sign", "fp", self.work, f"meeting-{k}").withColumn("y", F.struct("fp", "n", "reach", "component"))
+            met = salted_join(y, x, "sign", "fp", hot).withColumn("y", F.struct("fp", "n", "reach", "component"))
             met = met.filter((F.col("x.component") != F.col("y.component")) & self._may_link("x", "y")).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
             met = self.work.save(met if done is None else met.join(done, ["a", "b"], "left_anti"), f"met-{k}")
             sets = self._fetch(met, nodes, sets, f"sets-{k}")
             checked = self._verify(met, sets, f"checked-{k}")
+            self.work.drop(f"met-{k}")
+            self.work.drop(f"contracted-{k - 1}" if k else "postings")
             done = checked if done is None else done.union(checked)
             components = connected_components(done.filter("linked").select("a", "b"), self.work, f"components-{k}")
             components = self.work.save(components, f"labels-{k}")
+            self.work.drop(f"labels-{k - 1}")
             rows = rows.select("sign", "fp", "n", "reach").join(components, F.col("fp") == F.col("node"), "left").select("sign", "fp", "n", "reach", F.coalesce("component", "fp").alias("component"))
-            rows = rows if last else self.work.save(rows, f"contracted-{k}")
+            if not last:
+                rows = self.work.save(rows, f"contracted-{k}")
+                self.work.drop(f"rows-{k}")
             k, count = k + 1, 2 * count
         if components is None:
             components = self.spark.createDataFrame([], "node long, component long")
@@ -292,15 +298,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with nothing.  Repeated rows stay, each with the same result; columns beyond key and text do
     not matter, whatever their names; an empty table gives an empty one.
     """
-    join = JaccardJoin(docs, key, text, words, percent)
-    scanned, nodes, components = join.run()
+    scanned, nodes, components = JaccardJoin(docs, key, text, words, percent).run()
     labelled = nodes.join(components, F.col("fp") == F.col("node"), "left").select("fp", "n", "k", F.coalesce("component", "fp").alias("component"))
-    labelled = join.work.save(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("k").alias("component_id"))
-    named = salted_join(labelled, least, "component", "fp", join.work, "named").select("fp", "n", "component_id")
-    named = join.work.save(named.select(F.struct("fp", "n").alias("node"), "component_id"), "components")
-    filled = scanned.filter("n > 0").withColumn("node", F.struct("fp", "n"))
-    found = salted_join(filled, named, "node", "k", join.work, "found", how="left").select("k", "n", F.when(F.col("k").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = labelled.join(least, "component").select("fp", "n", "component_id")
+    found = scanned.filter("n > 0").join(named, ["fp", "n"], "left").select("k", "n", F.when(F.col("k").isNotNull(), F.col("component_id")).alias("component_id"))
     found = found.union(scanned.filter("n = 0").select("k", "n", F.col("k").alias("component_id")))
     return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

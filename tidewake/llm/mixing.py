@@ -125,12 +125,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "source_size", "target", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("rounds"), due.alias("due"), lap.alias("lap"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """The documents of the mix, with docs' own columns, range-sorted by finish time; one taken n times stands in n rows."""
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", ordered: bool = True) -> DataFrame:
+    """The documents of the mix, with docs' own columns; one taken n times stands in n rows.
+
+    ``ordered``: range-sorted over the cluster by finish time, which deals out the texts once more.
+    """
     rounds = mix(docs, key, text, source, seed).filter("rounds > 0")
     sized = docs.withColumn("__size", word_count(F.col(text)))
     same = W.partitionBy(key, source, "__size").orderBy(F.xxhash64(text))
     sized = sized.withColumn("__copy", F.row_number().over(same))
     on = [F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}")) for a, b in ((key, "key"), (source, "source"), ("__size", "size"), ("__copy", "copy"))]
     both = sized.alias("a").join(rounds.alias("b"), on).withColumn("__round", F.explode(F.sequence(F.lit(1), F.col("b.rounds"))))
-    return both.orderBy(F.col("b.due") + (F.col("__round") - 1) * F.col("b.lap"), F.col("b.key"), F.col("b.copy"), "__round").select(*[F.col(f"a.{c}") for c in docs.columns])
+    both = both.orderBy(F.col("b.due") + (F.col("__round") - 1) * F.col("b.lap"), F.col("b.key"), F.col("b.copy"), "__round") if ordered else both
+    return both.select(*[F.col(f"a.{c}") for c in docs.columns])

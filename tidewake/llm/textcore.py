@@ -151,6 +151,18 @@ def text_groups(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Ite
         yield batch.slice(begin), texts[begin:]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @functools.cache
 def _trim() -> Callable[[int], object]:
     """The C library's way to hand free memory back, where it has one."""

@@ -175,7 +175,7 @@ class TokenFiles:
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = tokenids.IdEncoder(path)
-            for batch in batches:
+            for batch in textcore.gathered(batches):
                 for part, texts in textcore.text_groups(batch, 1):
                     ids, at = encoder.texts(texts)
                     ids = np.insert(ids, at[1:], end).astype(kind)
