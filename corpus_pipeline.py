@@ -52,12 +52,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, up to three times, in its order.
+    """Documents as often as the mix of sources takes them, up to three times.
+
+    Their order by finish time is left out, since the next stage sorts them by key.
 
     Texts without words are never taken; a null source is a source of its own; null keys and
     repeated rows are mixed like others; further columns are kept; an empty table gives an empty one.
     """
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, ordered=False)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
