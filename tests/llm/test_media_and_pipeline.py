@@ -74,3 +74,22 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert all(d.columns == kept[0].columns for d in kept[:4])
     final = sorted(map(tuple, kept[4].collect()), key=lambda r: r[1])
     assert [r[0] for r in final] == ids[3] and final[0][1] == 0
+
+
+def test_a_payload_that_looks_like_a_tag_is_read_back():
+    payload = M.pad(b"x" * 505 + b"TAG" + b"y" * 100)
+    for text in (payload, b"z" * 576 * 2 + b"x" * 520 + b"TAG" + b"w" * 53):
+        data = M.write(M.pad(text))
+        for parse in (M.parse, M.parse_regular):
+            stream = parse(data)
+            assert M.read_payload(data, stream) == M.pad(text) and not stream.skipped
+            assert len(stream.table_seek) == 100 and stream.tags["title"] == "payload"
+
+
+def test_index_column_holds_durations_and_offsets(spark):
+    df = spark.createDataFrame([(1, "a" * 1000, "t"), (1, "a" * 1000, "t"), (None, None, "t")], "doc_id long, text string, tags string")
+    rows = M.index_column(M.encode_column(df)).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 3 and by[1]["seconds"] == 2 * 576 / 16000 and by[1]["frames"] == 2 and by[1]["seek"][1] - by[1]["seek"][0] == M.FRAME
+    assert by[None]["frames"] == 1 and by[1]["tags"]["TIT2"] == "payload" and by[1]["crc_errors"] == 0
+    assert M.index_column(M.encode_column(df).limit(0)).count() == 0

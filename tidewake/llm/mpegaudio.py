@@ -2,7 +2,8 @@
 
 Writing: every 576 payload bytes fill one MPEG-2 Layer III frame (16 kHz, mono, 144 kbit/s, CRC on),
 whose side information declares no audio data, so a player decodes silence and the payload rides as
-ancillary bytes.  The stream begins with an ID3v2 tag and a Xing/Info table frame.
+ancillary bytes.  The stream begins with an ID3v2 tag and a Xing/Info table frame and ends in an ID3v1 tag, so
+no payload byte can be taken for one.
 
 Reading: skip tags, find frame headers (each must lead to another one, or to the end), read the
 variable-bitrate table, verify checksums, and give exact durations and frame seek offsets.
@@ -91,12 +92,20 @@ def read_header(data: bytes, at: int) -> Header | None:
     return Header(version, layer, not b & 1, kbit * 1000, SAMPLE_RATES[version][c >> 2 & 3], c >> 1 & 1, d >> 6 == 3)
 
 
+def allocation_bytes(data: bytes, at: int, head: Header) -> int:
+    """Bytes of the bit allocation of a Layer I frame: four bits a subband, shared ones once."""
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    own = 0 if head.mono else 4 * (extension + 1) if mode == 1 else 32
+    return (2 * own + 32 - own) // 2
+
+
 @dataclass
 class Stream:
     tags: dict = field(default_factory=dict)
     table: str = ""
     table_frames: int | None = None
     table_bytes: int | None = None
+    table_seek: list[int] = field(default_factory=list)
     seek: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     samples: int = 0
@@ -146,6 +155,11 @@ def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
         if kind == b"VBRI":
             if place + 18 <= len(data):
                 out.table_bytes, out.table_frames = struct.unpack_from(">II", data, place + 10)
+            if place + 26 <= len(data):
+                entries, scale, width, _ = struct.unpack_from(">HHHH", data, place + 18)
+                ends = range(place + 26, min(place + 26 + entries * width, len(data) - width + 1), max(1, width))
+                steps = [int.from_bytes(data[e : e + width], "big") * scale for e in ends] if 0 < width <= 4 else []
+                out.table_seek = np.cumsum(steps).tolist()
             return True
         flags = int.from_bytes(data[place + 4 : place + 8], "big")
         place += 8
@@ -153,10 +167,17 @@ def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
             if flags & bit and place + 4 <= len(data):
                 setattr(out, name, int.from_bytes(data[place : place + 4], "big"))
                 place += 4
+        if flags & 4 and place + 100 <= len(data) and out.table_bytes:
+            out.table_seek = [b * out.table_bytes // 256 for b in data[place : place + 100]]
         return True
     return False
 
 
+def _old_tag(data: bytes, at: int, end: int) -> bool:
+    """Whether a further ID3v1 tag fills the rest, as in a stream that was tagged twice."""
+    return end - at == 128 and data[at : at + 3] == b"TAG"
+
+
 def parse(data: bytes) -> Stream:
     """Frames, tags, table, checksums and durations of an MPEG audio stream; never raises on junk."""
     out = Stream()
@@ -164,9 +185,11 @@ def parse(data: bytes) -> Stream:
     first = True
     known: dict[bytes, int] = {}
     while at < end:
+        if not first and _old_tag(data, at, end):
+            break
         head = read_header(data, at)
         after = at + head.size if head else 0
-        if not head or head.size < 4 or after > end or (after < end and not read_header(data, after)):
+        if not head or head.size < 4 or after > end or (after < end and not read_header(data, after) and not _old_tag(data, after, end)):
             # Resynchronise: go on to the next byte that can begin a header.
             found = data.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at
@@ -177,8 +200,8 @@ def parse(data: bytes) -> Stream:
             out.rate = out.rate or head.rate
             continue
         first = False
-        if head.has_crc and head.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
+        if head.has_crc and head.layer != 2:  # Layer II's checksum covers a stretch of bits that depends on tables not held here
+            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + (head.side if head.layer == 3 else allocation_bytes(data, at, head))]
             if covered not in known:
                 known[covered] = crc16(covered)
             out.checked += 1
@@ -218,7 +241,8 @@ def write(payload: bytes, title: str = "payload") -> bytes:
     frames = np.zeros((count, FRAME), np.uint8)
     frames[:, :BODY] = np.frombuffer(HEADER + crc16(HEADER[2:] + side).to_bytes(2, "big") + side, np.uint8)
     frames[:, BODY : BODY + UNIT] = np.frombuffer(payload, np.uint8).reshape(count, UNIT)
-    return _tag(title) + _table_frame(count, (count + 1) * FRAME) + frames.tobytes()
+    last = b"TAG" + title.encode("latin-1", "replace")[:30].ljust(30, b"\0") + bytes(94) + b"\xff"
+    return _tag(title) + _table_frame(count, (count + 1) * FRAME) + frames.tobytes() + last
 
 
 def read_payload(data: bytes, stream: Stream) -> bytes:
@@ -268,14 +292,13 @@ def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                texts = [x.tobytes() for x in textcore.text_bytes(part.column(1))]
+            for part, texts in textcore.text_groups(batch, 1):
+                texts = [x.tobytes() for x in texts]
                 media = pa.array([write(pad(x)) for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), media], ["k", "n_bytes", "media"])
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInArrow(encode, f"k {slim.schema['k'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("k", key)
+    return slim.mapInArrow(textcore.lean(encode), f"k {slim.schema['k'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
 DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -297,4 +320,28 @@ def digest_column(media: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["k", "n_bytes", *[x.split()[0] for x in DIGESTS.split(", ")]])
 
     slim = media.select(F.col(key).alias("k"), "n_bytes", "media")
-    return slim.mapInArrow(digest, f"k {slim.schema['k'].dataType.simpleString()}, n_bytes long, {DIGESTS}").withColumnRenamed("k", key)
+    return slim.mapInArrow(textcore.lean(digest), f"k {slim.schema['k'].dataType.simpleString()}, n_bytes long, {DIGESTS}").withColumnRenamed("k", key)
+
+
+INDEX = "seconds double, samples long, rate int, frames int, seek array<long>, table string, table_frames long, table_seek array<long>, checked int, crc_errors int, skipped long, tags map<string,string>"
+
+
+def index_column(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """(key, exact duration, frame seek offsets, table, checksums, tags) of each stored stream.
+
+    Null or broken streams have no frames and last 0 seconds; null keys and repeated rows stay, one
+    row each; other columns do not matter; an empty table gives an empty one.
+    """
+    names = [x.split()[0] for x in INDEX.split(", ")]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()))
+        for batch in batches:
+            rows = []
+            for value in batch.column(1):
+                s = parse_regular(value.as_py() or b"")
+                rows.append((s.seconds, s.samples, s.rate, len(s.seek), s.seek, s.table, s.table_frames, s.table_seek, s.checked, s.crc_errors, s.skipped, list(s.tags.items())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], ["k", *names])
+
+    slim = media.select(F.col(key).alias("k"), F.col(column).alias("m"))
+    return slim.mapInArrow(textcore.lean(index), f"k {slim.schema['k'].dataType.simpleString()}, {INDEX}").withColumnRenamed("k", key)

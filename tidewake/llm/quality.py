@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidewake.llm import textcore
 
-#: Bounds of the samples the model is fitted on.
+#: Bounds of the samples the model is fitted on, unless fit() is given others.
 POSITIVES = 6000
 UNLABELLED = 12000
 HIDDEN = 12
@@ -75,7 +75,11 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """keep's columns and ``features``, an array in the order of FEATURES, of every whole text."""
+    """keep's columns and ``features``, an array in the order of FEATURES, of every whole text.
+
+    Null and empty texts have zeros; null keys and repeated rows stay, one row each; very long texts
+    are read whole; other columns do not matter, whatever their names; an empty table gives an empty one.
+    """
     slim = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([slim.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
 
@@ -86,7 +90,7 @@ def feature_table(docs: DataFrame, keep: tuple[str, ...], text: str = "text") ->
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], values], [*keep, "features"])
 
-    return slim.mapInArrow(compute, schema)
+    return slim.mapInArrow(textcore.lean(compute), schema)
 
 
 @dataclass
@@ -148,8 +152,10 @@ def train_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | N
     return net
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> float:
     """The share of positives among the unlabelled, by the best bin of a held-back half's scores."""
+    rng = np.random.default_rng(seed)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
     if min(half_p, half_u) < 10:
         return 0.5
@@ -163,25 +169,40 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.99))
 
 
-def fit(table: DataFrame, positives: DataFrame, key: str = "doc_id") -> tuple[Network | None, float]:
+def hashed_sample(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
+    """About ``most`` rows, all where there are fewer, chosen by a hash of their key: no sort, nothing gathered."""
+    total = rows.count()
+    share = min(1.0, most / max(1, total))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def _matrix(rows: DataFrame, key: str) -> np.ndarray:
+    found = rows.select(F.col(key).cast("string").alias("k"), "features").toArrow().sort_by("k")
+    return found.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def fit(table: DataFrame, positives: DataFrame, key: str = "doc_id", trusted_most: int = POSITIVES, unlabelled_most: int = UNLABELLED) -> tuple[Network | None, float]:
     """The network and the prior, from a feature table and the keys of trusted positives.
 
-    At most POSITIVES trusted and UNLABELLED other rows are fitted on, the first by hash of their
-    key; rows without a key are left out.  Without positives there is no network.
+    About ``trusted_most`` trusted and ``unlabelled_most`` of all rows are fitted on, chosen by hash of
+    their key; rows without a key are left out, of rows with the same key one is trusted.  Without
+    positives, or with an empty table, there is no network.  Columns beyond key and features do not matter.
     """
-    by_hash = F.xxhash64(F.col(key).cast("string"))
-    known = positives.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(by_hash).limit(POSITIVES)
-    trusted = table.join(F.broadcast(known), key, "left_semi").dropDuplicates([key]).orderBy(by_hash).select("features").collect()
-    free = table.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(F.lit("u"), F.col(key).cast("string"))).limit(UNLABELLED).select("features").collect()
-    if len(trusted) < 2 or len(free) < 2:
+    known = hashed_sample(positives.select(key).filter(F.col(key).isNotNull()).distinct(), key, trusted_most, "t")
+    keyed = table.select(key, "features").filter(F.col(key).isNotNull())
+    p = _matrix(keyed.join(F.broadcast(known), key, "left_semi").dropDuplicates([key]), key)
+    u = _matrix(hashed_sample(keyed, key, unlabelled_most, "u"), key)
+    if len(p) < 2 or len(u) < 2:
         return None, 0.5
-    p, u = np.array([r[0] for r in trusted]), np.array([r[0] for r in free])
     prior = estimate_prior(p, u)
     return train_network(p, u, prior), prior
 
 
 def score_table(table: DataFrame, net: Network | None, keep: tuple[str, ...]) -> DataFrame:
-    """keep's columns and ``score`` (0..1, higher: positive likelier); without a network 0.5."""
+    """keep's columns and ``score`` (0..1, higher: positive likelier); without a network 0.5.
+
+    One row each, null keys and repeats too; an empty table gives an empty one.
+    """
     schema = T.StructType([table.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegaudio.digest_column(mpegaudio.encode_column(table(spark, sf_dir, "documents")))
+    """The column is stored and read again before its digests are made."""
+    media = Workspace(spark, "media").save(mpegaudio.encode_column(table(spark, sf_dir, "documents")), "media")
+    return mpegaudio.digest_column(media)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
