@@ -12,10 +12,10 @@ Which tokens count as frequent, and their classes, only steer the work: any choi
 links.  They are counted over all documents; at most FREQUENT_MOST of them are named, the most
 frequent ones.
 
-Postings are not expanded into pairs at first.  In round k each posting links its nodes to 2^k
+Postings are not expanded into pairs at first.  In round k each posting links its nodes to 8^k
 pivots; links found are contracted, and only nodes of different components meet again.  As soon as
 the pairs left between components are no more than a further round would compare, each of them is
-compared: after at most as many rounds as the longest posting has binary digits.
+compared: after at most as many rounds as the longest posting has octal digits.
 
 Signatures that many nodes have are salted: a row of theirs goes to one of several tasks, the few
 rows that it meets go to all of them.  Other joins on keys that may be hot (pivots, mass copies) end
@@ -42,8 +42,8 @@ FREQUENT_MOST = 1_000_000
 #: among them from which all tokens of the set are counted.
 ZONE = 1.3
 DOMINATED = 0.2
-#: Pivots of a posting in the first round; each round doubles them.
-PIVOTS = 1
+#: Pivots of a posting in the first round, and by how much each round multiplies them.
+PIVOTS, GROWTH = 1, 8
 #: Document keys broadcast at most when the texts of candidates are fetched (8 bytes each).
 BROADCAST_KEYS = 400_000
 
@@ -283,7 +283,7 @@ class JaccardJoin:
             if not last:
                 rows = self.work.save(rows, f"contracted-{k}")
                 self.work.drop(f"rows-{k}")
-            k, count = k + 1, 2 * count
+            k, count = k + 1, GROWTH * count
         if components is None:
             components = self.spark.createDataFrame([], "node long, component long")
         self.links = done
