@@ -76,8 +76,8 @@ def test_text_formats(spark, tmp_path):
     assert [(r["name"], r["x2"]) for r in files.read_voc(spark, f"{tmp_path}/v.xml").collect()] == [("ship", 3.0), ("boat", 7.0)]
     (tmp_path / "names.txt").write_text("ship\nboat\n")
     assert [tuple(r) for r in files.read_classes(spark, f"{tmp_path}/names.txt").collect()] == [(0, "ship"), (1, "boat")]
-    (tmp_path / "gt.txt").write_text("0,1,1,2,3,4,1,1,1\n1,1,1,2,3,4,1,1,1\n1,2,1,2,3,4,0,1,1\n1,3,1,2,3,4,1,7,1\n")
-    assert [r["id"] for r in files.read_mot(spark, f"{tmp_path}/gt.txt", truth=True).collect()] == [1]
+    (tmp_path / "MOT16-gt.txt").write_text("0,1,1,2,3,4,1,1,1\n1,1,1,2,3,4,1,1,1\n1,2,1,2,3,4,0,1,1\n1,3,1,2,3,4,1,7,1\n")
+    assert [r["id"] for r in files.read_mot(spark, f"{tmp_path}/MOT16-gt.txt", truth=True).collect()] == [1]
     rows = spark.createDataFrame([(1, 5, 1, 2, 3, 4), (1, -1, 1, 2, 3, 4)], "frame int, id int, x int, y int, w int, h int")
     assert [r[0] for r in files.mot_lines(rows).collect()] == ["1,5,1,2,3,4,-1,-1,-1,-1"]
     assert files.mot_lines(rows, "kitti").head()[0].startswith("0 5 pedestrian 0 0 -10 1 2 4 6")

@@ -122,3 +122,38 @@ def split_sets(images: DataFrame, trainval: float = C.SPLIT_TRAINVAL, train: flo
     """images (id) dealt to train, val and test by a fixed residue of the id."""
     part = F.pmod(F.col("id") * 7919, F.lit(10_000)) / 10_000.0
     return images.withColumn("part", F.when(part >= trainval, "test").when(part >= trainval * train, "val").otherwise("train"))
+
+
+def trails(points: DataFrame, last: int = 10) -> DataFrame:
+    """points (id, tick, x, y) with the number of the id's points so far and its last ones' sums."""
+    w = W.partitionBy("id").orderBy("tick")
+    tail = w.rowsBetween(1 - last, 0)
+    return points.withColumn("n", F.count("*").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("last_x", F.sum("x").over(tail)).withColumn("last_y", F.sum("y").over(tail))
+
+
+def nearest_in_gate(tracks: DataFrame, vessels: DataFrame, gate: float) -> DataFrame:
+    """Each track's nearest vessel of its run and tick within the gate, claimed or not."""
+    dx, dy = F.col("t.x") - F.col("v.x"), F.col("t.y") - F.col("v.y")
+    both = tracks.alias("t").join(vessels.alias("v"), ["run_id", "tick_ms"]).select("run_id", "tick_ms", "t.track_id", "v.mmsi", F.sqrt(dx * dx + dy * dy).alias("d"))
+    best = both.filter(F.col("d") <= gate).groupBy("run_id", "tick_ms", "track_id").agg(F.min(F.struct("d", "mmsi")).alias("m"))
+    return best.select("run_id", "tick_ms", "track_id", F.col("m.mmsi").alias("mmsi"), F.col("m.d").alias("distance"))
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key: the key and the order's columns."""
+    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("m")).select(key, *[F.col(f"m.{c}") for c in order])
+
+
+def suppress_covered(frames: DataFrame, score: str = "score", most: float = 0.5) -> DataFrame:
+    """Suppression by cover: a box goes if one of higher score covers more than ``most`` of its own area, corners counted."""
+    listed = frames.groupBy("frame").agg(F.collect_list(F.struct((-F.col(score)).alias("rank"), (-F.col("det")).alias("turn"), "x1", "y1", "x2", "y2", "det")).alias("all"))
+    kind = listed.schema["all"].dataType.simpleString()
+    get = lambda s: {k: s[k] for k in ("x1", "y1", "x2", "y2")}
+    covers = lambda o, b: B.overlap_area(get(o), get(b), 1.0) / B.area(get(b), 1.0) > most
+    kept = F.aggregate(F.array_sort("all"), F.array().cast(kind), lambda k, b: F.when(F.exists(k, lambda o: covers(o, b)), k).otherwise(F.array_append(k, b)))
+    return listed.select("frame", F.explode(kept).alias("b")).select("frame", "b.det")
+
+
+def active_only(galleries: DataFrame, active: DataFrame, key: str = "track_id") -> DataFrame:
+    """Gallery rows of the tracks that are active."""
+    return galleries.join(active.select(key).distinct(), key, "left_semi")

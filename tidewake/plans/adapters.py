@@ -50,17 +50,17 @@ BOX_SQL = """boxes AS (SELECT l_orderkey AS frame, CAST(row_number() OVER (PARTI
 def truth_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ground truth (a box per line item) and detections (the same boxes, shifted; some without a truth)."""
     b = boxes(spark, sf_dir)
-    truth = b.filter(F.col("det") <= 4).select("frame", F.col("det").alias("gt"), "cls", "x1", "y1", "x2", "y2", (F.col("det") == 4).alias("difficult"))
+    truth = b.select("frame", F.col("det").alias("gt"), "cls", "x1", "y1", "x2", "y2", (F.col("det") == 4).alias("difficult"))
     dx = ((F.col("frame") * 7 + F.col("det") * 13) % 41).cast("double")
     conf = F.round(((F.col("frame") * 31 + F.col("det") * 17) % 997) / 997.0, 6)
-    found = b.filter(F.col("det") <= 5).select("frame", "det", "cls", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dx / 2).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dx / 2).alias("y2"), conf.alias("conf"))
+    found = b.select("frame", "det", "cls", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dx / 2).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dx / 2).alias("y2"), conf.alias("conf"))
     return truth, found
 
 
 EVAL_SQL = BOX_SQL + """,
-truth AS (SELECT frame, det AS gt, cls, x1, y1, x2, y2, det = 4 AS difficult FROM boxes WHERE det <= 4),
+truth AS (SELECT frame, det AS gt, cls, x1, y1, x2, y2, det = 4 AS difficult FROM boxes),
 found AS (SELECT frame, det, cls, x1 + d AS x1, y1 + d / 2 AS y1, x2 + d AS x2, y2 + d / 2 AS y2, conf FROM (
-  SELECT *, CAST((frame * 7 + det * 13) % 41 AS DOUBLE) AS d, round(((frame * 31 + det * 17) % 997) / 997e0, 6) AS conf FROM boxes WHERE det <= 5)),
+  SELECT *, CAST((frame * 7 + det * 13) % 41 AS DOUBLE) AS d, round(((frame * 31 + det * 17) % 997) / 997e0, 6) AS conf FROM boxes)),
 pairs AS (SELECT f.frame, f.det, f.cls, f.conf, t.gt, t.difficult,
   greatest(least(f.x2, t.x2) - greatest(f.x1, t.x1) + 1, 0) * greatest(least(f.y2, t.y2) - greatest(f.y1, t.y1) + 1, 0) AS common,
   (f.x2 - f.x1 + 1) * (f.y2 - f.y1 + 1) + (t.x2 - t.x1 + 1) * (t.y2 - t.y1 + 1) AS areas
@@ -76,6 +76,25 @@ curve AS (SELECT r.cls, rank, conf, cum_tp / greatest(n_gt, 1) AS rec, cum_tp /
 
 
 def gallery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Query and gallery vectors: even and odd embeddings."""
+    """Query vectors (every tenth) and the gallery, which is all vectors; a query does not meet itself."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    return e.filter("vec_id % 2 = 0 AND vec_id % 5 = 0"), e.filter("vec_id % 2 = 1")
+    return e.filter("vec_id % 10 = 0"), e
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """True, found and ignored boxes (sequence, frame, id, x, y, w, h): every box, found ones shifted, some ignored."""
+    b = boxes(spark, sf_dir)
+    size = ((F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    name = (F.col("frame") % 5).alias("sequence")
+    shift = ((F.col("frame") * 7 + F.col("det") * 13) % 41).cast("double")
+    swapped = F.col("det") * 10 + F.floor(F.col("frame") / 400) % 2
+    truth = b.filter("det <> 3").select(name, "frame", F.col("det").cast("long").alias("id"), "x1", "y1", *size)
+    found = b.filter("(frame + det) % 6 <> 0").select(name, "frame", swapped.cast("long").alias("id"), (F.col("x1") + shift).alias("x1"), (F.col("y1") + shift / 2).alias("y1"), *size)
+    ignored = b.filter("det = 3").select(name, "frame", F.col("det").cast("long").alias("id"), "x1", "y1", *size)
+    return tuple(t.withColumnsRenamed({"x1": "x", "y1": "y"}) for t in (truth, found, ignored))
+
+
+SEQUENCE_SQL = BOX_SQL + """,
+t AS (SELECT frame % 5 AS sequence, frame, CAST(det AS BIGINT) AS id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM boxes WHERE det <> 3),
+f AS (SELECT frame % 5 AS sequence, frame, CAST(det * 10 + (frame // 400) % 2 AS BIGINT) AS id, x1 + d AS x, y1 + d / 2 AS y, x2 - x1 AS w, y2 - y1 AS h
+  FROM (SELECT *, CAST((frame * 7 + det * 13) % 41 AS DOUBLE) AS d FROM boxes) WHERE (frame + det) % 6 <> 0)"""

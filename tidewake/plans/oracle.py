@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.plans.adapters import AIS_SQL, BOX_SQL, EVAL_SQL
+from tidewake.plans.adapters import AIS_SQL, BOX_SQL, EVAL_SQL, SEQUENCE_SQL
 
 ROUNDS = 6
 
@@ -55,7 +55,7 @@ rows_ AS (SELECT sequence, 0 AS s, (truth_id IS NOT NULL)::INT AS t, (found_id I
 E5 = f"WITH {EVAL_SQL}"
 AP = E5 + """, env AS (SELECT cls, rec - coalesce(lag(rec) OVER (PARTITION BY cls ORDER BY rank), 0) AS step, max(prec) OVER (PARTITION BY cls ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM curve),
 aps AS (SELECT cls, sum(step * top) AS ap FROM env GROUP BY cls)"""
-GALLERY = "WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 10 = 0), g AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 2 = 1)"
+GALLERY = "WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 10 = 0), g AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 
 ORACLE_SQL: dict[str, str] = {
     "ais_valid_filter": f"WITH {AIS_SQL} SELECT event_id, mmsi, lon, lat, speed FROM ais WHERE {VALID}",
@@ -94,7 +94,7 @@ ends AS (SELECT frame, arg_max(kept, r) AS kept FROM walk GROUP BY frame), out_
 SELECT frame, k.det AS det, round(k.score, 4) AS score FROM out_""",
     "anchor_decode": WITH_BOXES + " SELECT frame, det, round((score + det) * 8, 4) AS cx, round((score / 2 + frame % 20) * 8, 4) AS cy, round(exp(score) * 8, 4) AS w, round(exp(score / 3) * 8, 4) AS h FROM boxes",
     "mot_detection_rows": WITH_BOXES + f" SELECT frame + 1 AS frame, det, 0 AS id, {MOT} FROM boxes",
-    "mot_tracking_rows": WITH_BOXES + f", s AS (SELECT frame, det, x1 - 40 AS x1, y1 - 30 AS y1, x2, y2 FROM boxes WHERE det % 2 = 1) SELECT frame + 1 AS frame, det AS id, {MOT} FROM s",
+    "mot_tracking_rows": WITH_BOXES + f", s AS (SELECT frame, det, x1 - 40 AS x1, y1 - 30 AS y1, x2, y2 FROM boxes) SELECT frame + 1 AS frame, det AS id, {MOT} FROM s",
     "mot_fusion_rows": MATCHES + f" SELECT b.frame + 1 AS frame, b.det AS track_id, m.mmsi AS id, {MOT} FROM boxes b JOIN matches m ON b.frame = m.frame AND b.det = m.track_id",
     "fused_left_outer": MATCHES + " SELECT b.frame, b.det AS track_id, CAST(coalesce(m.mmsi, 0) AS BIGINT) AS mmsi, b.x1 FROM boxes b LEFT JOIN matches m ON b.frame = m.frame AND b.det = m.track_id",
     "ignore_labels": WITH_BOXES + " SELECT CAST(det % 7 AS INTEGER) AS label, count(*) AS n FROM boxes WHERE det % 7 IN (1, 3) GROUP BY det % 7",
@@ -111,9 +111,9 @@ held AS (SELECT track_id, mmsi, track_id % 9 AS n FROM pairs WHERE (track_id * 7
 SELECT p.track_id, p.mmsi, CASE WHEN h.n IS NOT NULL THEN -100e0 * h.n WHEN p.track_id IN (SELECT track_id FROM held) OR p.mmsi IN (SELECT mmsi FROM held) THEN 1e9 ELSE coalesce(score, 1e9) END AS cost FROM pairs p LEFT JOIN held h ON p.track_id = h.track_id AND p.mmsi = h.mmsi""",
     "nearest_within_gate": SEEN + " SELECT run_id, tick_ms, track_id, mmsi, round(d, 4) AS distance FROM near WHERE d <= 540 QUALIFY row_number() OVER (PARTITION BY run_id, tick_ms, track_id ORDER BY d, mmsi) = 1",
     "layout_running_offset": "WITH c AS (SELECT c_nationkey AS frame, c_custkey AS id, c_acctbal AS x, CASE WHEN c_mktsegment < 'C' THEN 160 ELSE 128 END AS s FROM customer), o AS (SELECT *, CAST(coalesce(sum(s + 5) OVER (PARTITION BY frame ORDER BY x, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 5 AS x1 FROM c) SELECT frame, id, x1, x1 + s AS x2 FROM o",
-    "cosine_nn": GALLERY + " SELECT q.vec_id, round(min(1 - list_cosine_similarity(q.v, g.v)), 5) AS distance FROM q JOIN g ON q.label = g.label GROUP BY q.vec_id",
-    "euclid_nn": GALLERY + " SELECT q.vec_id, round(min(pow(list_distance(q.v, g.v), 2)), 4) AS distance FROM q JOIN g ON q.label = g.label GROUP BY q.vec_id",
-    "reid_top1_accuracy": GALLERY + ", d AS (SELECT q.vec_id, q.label AS ql, g.label AS gl, g.vec_id AS o, round(list_inner_product(q.v, g.v), 9) AS s FROM q, g), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) = 1) SELECT round(avg(CASE WHEN ql = gl THEN 1e0 ELSE 0 END), 6) AS top1, count(*) AS n FROM t",
+    "cosine_nn": GALLERY + " SELECT q.vec_id, round(min(1 - list_cosine_similarity(q.v, g.v)), 5) AS distance FROM q JOIN g ON q.label = g.label AND q.vec_id <> g.vec_id GROUP BY q.vec_id",
+    "euclid_nn": GALLERY + " SELECT q.vec_id, round(min(pow(list_distance(q.v, g.v), 2)), 4) AS distance FROM q JOIN g ON q.label = g.label AND q.vec_id <> g.vec_id GROUP BY q.vec_id",
+    "reid_top1_accuracy": GALLERY + ", d AS (SELECT q.vec_id, q.label AS ql, g.label AS gl, g.vec_id AS o, round(list_inner_product(q.v, g.v), 9) AS s FROM q JOIN g ON q.vec_id <> g.vec_id), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) = 1) SELECT round(avg(CASE WHEN ql = gl THEN 1e0 ELSE 0 END), 6) AS top1, count(*) AS n FROM t",
     "gallery_budget": "SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 10",
     "kalman_predict": WITH_BOXES + " SELECT frame, det, (x1 + x2) / 2 + det AS x, (y1 + y2) / 2 - det AS y, round(pow((y2 - y1) * 2 * (1e0 / 20), 2) + pow((y2 - y1) * 10 * (1e0 / 160), 2) + pow((y2 - y1) * (1e0 / 20), 2), 4) AS var_x FROM boxes",
     "chi2_gate": WITH_BOXES + ", d AS (SELECT frame, det, (pow(det * 8e0, 2) + pow(det * 5e0, 2)) / (pow((y2 - y1) * 2 * (1e0 / 20), 2) + pow((y2 - y1) * (1e0 / 20), 2)) AS d2 FROM boxes) SELECT frame, det, round(CASE WHEN d2 > 9.4877e0 THEN 1e5 ELSE d2 END, 4) AS cost FROM d",
@@ -130,4 +130,27 @@ SELECT p.track_id, p.mmsi, CASE WHEN h.n IS NOT NULL THEN -100e0 * h.n WHEN p.tr
     "train_val_split": "WITH p AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 10000) / 10000e0 AS v FROM orders) SELECT CASE WHEN v >= 0.95e0 THEN 'test' WHEN v >= 0.95e0 * 0.95e0 THEN 'val' ELSE 'train' END AS part, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM p GROUP BY 1",
     "first_image_per_id": "SELECT l_partkey AS id, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1",
     "stamp_names": "SELECT event_id, strftime(date_trunc('second', ts), '%Y_%m_%d_%H_%M_%S') || '.csv' AS name, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second, CAST(greatest(0, least(500, floor(event_id / 25e0 + 1e-6))) AS INTEGER) AS frame_index, ((431000000 + user_id) * 47) % 360 AS hue FROM events",
+    "mot_near_pairs": "WITH " + SEQUENCE_SQL + """, p AS (SELECT t.sequence, t.id AS truth_id, f.id AS found_id, t.w * t.h + f.w * f.h AS areas,
+  greatest(least(t.x + t.w, f.x + f.w) - greatest(t.x, f.x), 0) * greatest(least(t.y + t.h, f.y + f.h) - greatest(t.y, f.y), 0) AS common FROM t JOIN f ON t.sequence = f.sequence AND t.frame = f.frame)
+SELECT sequence, truth_id, found_id, count(*) AS n FROM p WHERE 1 - common / (areas - common) <= 0.5e0 GROUP BY ALL""",
+    "nms_covered": "WITH RECURSIVE " + BOX_SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det DESC) AS r FROM boxes),
+walk AS (SELECT frame, 1 AS r, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det': det}] AS kept FROM ranked WHERE r = 1 UNION ALL
+  SELECT w.frame, b.r, CASE WHEN len(list_filter(w.kept, lambda o: greatest(least(o.x2, b.x2) - greatest(o.x1, b.x1) + 1, 0) * greatest(least(o.y2, b.y2) - greatest(o.y1, b.y1) + 1, 0)
+    / ((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1)) > 0.5e0)) > 0 THEN w.kept ELSE list_append(w.kept, {'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'det': b.det}) END
+  FROM walk w JOIN ranked b ON b.frame = w.frame AND b.r = w.r + 1),
+ends AS (SELECT frame, arg_max(kept, r) AS kept FROM walk GROUP BY frame), out_ AS (SELECT frame, unnest(kept) AS k FROM ends)
+SELECT frame, k.det AS det FROM out_""",
+    "coco_annotations": E5 + " SELECT row_number() OVER (ORDER BY frame, gt) - 1 AS id, frame AS image_id, CASE cls WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS category_id, CAST(difficult AS INTEGER) AS iscrowd, x2 - x1 AS w, (x2 - x1) * (y2 - y1) - 10e0 AS area FROM truth",
+    "coco_results": E5 + " SELECT frame AS image_id, CASE cls WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS category_id, x1 AS x, y2 - y1 AS h, conf AS score FROM found",
+    "image_lists": """WITH p AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 10000) / 10000e0 AS v FROM orders),
+d AS (SELECT id, CASE WHEN v >= 0.95e0 THEN 'test' WHEN v >= 0.95e0 * 0.95e0 THEN 'val' ELSE 'train' END AS part FROM p),
+l AS (SELECT part AS list, id FROM d UNION ALL SELECT 'trainval', id FROM d WHERE part <> 'test') SELECT list, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM l GROUP BY list""",
+    "mosaic_boxes": WITH_BOXES + """ SELECT frame, det, CASE WHEN frame % 4 IN (2, 3) AND x1 <= 300 AND x2 >= 300 THEN 300e0 ELSE x1 END AS mx1, CASE WHEN frame % 4 IN (1, 2) AND y1 <= 200 AND y2 >= 200 THEN 200e0 ELSE y1 END AS my1,
+  CASE WHEN frame % 4 IN (0, 1) AND x1 <= 300 AND x2 >= 300 THEN 300e0 ELSE x2 END AS mx2, CASE WHEN frame % 4 IN (0, 3) AND y1 <= 200 AND y2 >= 200 THEN 200e0 ELSE y2 END AS my2
+  FROM boxes WHERE (CASE WHEN frame % 4 IN (0, 1) THEN x1 <= 300 ELSE x2 >= 300 END) AND (CASE WHEN frame % 4 IN (0, 3) THEN y1 <= 200 ELSE y2 >= 200 END)""",
+    "rescaled_boxes": WITH_BOXES + """, h AS (SELECT frame, det, x1 / 2 - 200 AS a, y1 / 2 + 20 AS b, x2 / 2 - 200 AS c, y2 / 2 + 20 AS d FROM boxes),
+m AS (SELECT frame, det, CASE WHEN frame % 2 = 1 THEN 640 - c ELSE a END AS a, b, CASE WHEN frame % 2 = 1 THEN 640 - a ELSE c END AS c, d FROM h),
+k AS (SELECT frame, det, greatest(a, 0e0) AS rx1, greatest(b, 0e0) AS ry1, least(c, 640e0) AS rx2, least(d, 400e0) AS ry2 FROM m) SELECT * FROM k WHERE rx2 - rx1 > 1 AND ry2 - ry1 > 1""",
+    "packed_vectors": POINTS + """, o AS (SELECT *, arg_min({'t': tick, 'x': x, 'y': y}, tick) OVER (PARTITION BY id ORDER BY tick RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS old FROM points)
+SELECT id, tick, round(coalesce((x - old.x) / (tick - old.t), 0), 3) AS vx, round(coalesce((y - old.y) / (tick - old.t), 0), 3) AS vy, CAST((32767 * ((id % 1000) * (id % 1000) - id % 1000 + 1)) % 255 AS INTEGER) AS green FROM o""",
 }

@@ -12,8 +12,10 @@ from tidewake import config as C
 from tidewake.functions import boxes as B
 from tidewake.functions import geo, vectors
 from tidewake.functions import trajectory as Tr
-from tidewake.operators import evaluation, hosting, motion, vessels
+from tidewake.functions import pictures
+from tidewake.operators import evaluation, hosting, matching, motion, occlusion, vessels
 from tidewake.plans import adapters as A
+from tidewake.sources import exports, files
 
 CAMERA = geo.SAMPLE_CAMERA
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,15 +144,14 @@ def set_ops_ids(spark, sf):
 
 @query
 def process_time_stats(spark, sf):
-    return A.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"), F.count("*").alias("n"))
+    stats = exports.time_stats(A.table(spark, sf, "events"), "event_type", "value")
+    return stats.select("event_type", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
 @query
 def vessel_trails(spark, sf):
     """Points of each vessel up to each day: count and last ten."""
-    w = W.partitionBy("id").orderBy("tick")
-    p = _points(spark, sf)
-    return p.select("id", "tick", F.count("*").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("n"), F.sum("x").over(w.rowsBetween(-9, 0)).alias("last_ten_x"))
+    return motion.trails(_points(spark, sf)).select("id", "tick", "n", F.col("last_x").alias("last_ten_x"))
 
 
 # --- boxes --------------------------------------------------------------------------------------
@@ -247,7 +248,7 @@ def mot_detection_rows(spark, sf):
 
 @query
 def mot_tracking_rows(spark, sf):
-    b = A.boxes(spark, sf).filter("det % 2 = 1")
+    b = A.boxes(spark, sf)
     return b.select((F.col("frame") + 1).alias("frame"), F.col("det").alias("id"), *B.mot_row(F.col("x1") - 40, F.col("y1") - 30, F.col("x2"), F.col("y2"), 640, 400))
 
 
@@ -271,7 +272,7 @@ def fused_left_outer(spark, sf):
 @query
 def ignore_labels(spark, sf):
     b = A.boxes(spark, sf).withColumn("label", (F.col("det") % 7).cast("int"))
-    return b.filter(F.col("label").isin(1, 2, 3) & ~F.col("label").isin(2)).groupBy("label").agg(F.count("*").alias("n"))
+    return files.kept_labels(b, (1, 2, 3), (2,)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 # --- motion, trajectories and fusion ------------------------------------------------------------
@@ -375,9 +376,7 @@ def nearest_vessel_greedy(spark, sf):
 def nearest_within_gate(spark, sf):
     """Each track's nearest vessel of its tick, claimed or not."""
     tracks, seen = _seen(spark, sf)
-    d = F.sqrt((F.col("t.x") - F.col("v.x")) * (F.col("t.x") - F.col("v.x")) + (F.col("t.y") - F.col("v.y")) * (F.col("t.y") - F.col("v.y")))
-    both = tracks.alias("t").join(seen.alias("v"), ["run_id", "tick_ms"]).select("run_id", "tick_ms", "t.track_id", "v.mmsi", d.alias("d")).filter(F.col("d") <= 540.0)
-    return both.groupBy("run_id", "tick_ms", "track_id").agg(F.min(F.struct("d", "mmsi")).alias("m")).select("run_id", "tick_ms", "track_id", F.col("m.mmsi").alias("mmsi"), F.round("m.d", 4).alias("distance"))
+    return motion.nearest_in_gate(tracks, seen, 540.0).withColumn("distance", F.round("distance", 4))
 
 
 @query
@@ -392,24 +391,21 @@ def layout_running_offset(spark, sf):
 @query
 def cosine_nn(spark, sf):
     q, g = A.gallery(spark, sf)
-    d = q.alias("q").join(g.alias("g"), F.col("q.label") == F.col("g.label")).select("q.vec_id", F.col("g.vec_id").alias("other"), vectors.cosine_distance(F.col("q.vector"), F.col("g.vector")).alias("d"))
-    return d.groupBy("vec_id").agg(F.round(F.min("d"), 5).alias("distance"))
+    return vectors.nearest(q, g, "cosine", same_label=True).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 @query
 def euclid_nn(spark, sf):
     q, g = A.gallery(spark, sf)
-    d = q.alias("q").join(g.alias("g"), F.col("q.label") == F.col("g.label")).select("q.vec_id", vectors.squared_euclid(F.col("q.vector"), F.col("g.vector")).alias("d"))
-    return d.groupBy("vec_id").agg(F.round(F.min("d"), 4).alias("distance"))
+    return vectors.nearest(q, g, "euclid", same_label=True).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query
 def reid_top1_accuracy(spark, sf):
-    """Share of queries whose nearest gallery vector has their label: queries against all, blocks joined by broadcast size."""
+    """Share of queries whose nearest gallery vector has their label; queries meet the gallery in blocks."""
     q, g = A.gallery(spark, sf)
-    d = q.alias("q").crossJoin(g.alias("g")).select("q.vec_id", F.col("q.label").alias("ql"), F.struct(F.round(vectors.dot(F.col("q.vector"), F.col("g.vector")), 9).alias("s"), (-F.col("g.vec_id")).alias("o"), F.col("g.label").alias("gl")).alias("m"))
-    top = d.groupBy("vec_id", "ql").agg(F.max("m").alias("m"))
-    return top.agg(F.round(F.avg((F.col("ql") == F.col("m.gl")).cast("double")), 6).alias("top1"), F.count("*").alias("n"))
+    top = vectors.nearest(q, g, "dot")
+    return top.agg(F.round(F.avg((F.col("label") == F.col("other_label")).cast("double")), 6).alias("top1"), F.count("*").alias("n"))
 
 
 @query
@@ -421,19 +417,16 @@ def gallery_budget(spark, sf):
 @query
 def kalman_predict(spark, sf):
     b = A.boxes(spark, sf)
-    cx, cy = B.center(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    h = F.col("y2") - F.col("y1")
-    spread = F.pow(h * 2 * C.KALMAN_POSITION, 2) + F.pow(h * 10 * C.KALMAN_VELOCITY, 2) + F.pow(h * C.KALMAN_POSITION, 2)
-    return b.select("frame", "det", (cx + F.col("det")).alias("x"), (cy - F.col("det")).alias("y"), F.round(spread, 4).alias("var_x"))
+    moving = b.withColumn("vx", F.col("det").cast("double")).withColumn("vy", -F.col("det").cast("double"))
+    return hosting.filter_rows(moving, ("vx", "vy"), ("vx", "vy")).select("frame", "det", "x", "y", F.round("var_x", 4).alias("var_x"))
 
 
 @query
 def chi2_gate(spark, sf):
     b = A.boxes(spark, sf)
-    h = F.col("y2") - F.col("y1")
-    var = F.pow(h * 2 * C.KALMAN_POSITION, 2) + F.pow(h * C.KALMAN_POSITION, 2)
-    d2 = (F.pow(F.col("det") * 8.0, 2) + F.pow(F.col("det") * 5.0, 2)) / var
-    return b.select("frame", "det", F.round(F.when(d2 > C.CHI2_4, C.INFEASIBLE).otherwise(d2), 4).alias("cost"))
+    off = b.withColumn("dx", F.col("det") * 8.0).withColumn("dy", F.col("det") * 5.0)
+    gated = hosting.filter_rows(off, ("dx", "dy"), ("dx", "dy"))
+    return gated.select("frame", "det", F.round(F.when(F.col("d2") > C.CHI2_4, C.INFEASIBLE).otherwise(F.col("d2")), 4).alias("cost"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -534,8 +527,7 @@ def train_val_split(spark, sf):
 
 @query
 def first_image_per_id(spark, sf):
-    li = A.table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m")).select("id", "m.l_orderkey", "m.l_linenumber")
+    return motion.first_of_each(A.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "id"), "id", ["l_orderkey", "l_linenumber"])
 
 
 @query
@@ -546,3 +538,85 @@ def stamp_names(spark, sf):
     back = F.unix_seconds(F.to_timestamp(F.regexp_extract(name, r"(.*)\.csv", 1), "yyyy_MM_dd_HH_mm_ss"))
     index = F.greatest(F.lit(0), F.least(F.lit(500), F.floor(F.col("event_id") / 25.0 + 1e-6))).cast("int")
     return e.select("event_id", name.alias("name"), back.alias("second"), index.alias("frame_index"), F.pmod((431000000 + F.col("user_id")) * 47, F.lit(360)).alias("hue"))
+
+
+# --- trackers against truth, occlusion, exports -------------------------------------------------
+
+
+@query
+def mot_near_pairs(spark, sf):
+    """In how many frames a true and a found id are near."""
+    truth, found, _ = A.sequences(spark, sf)
+    return matching.near_pairs(truth, found)
+
+
+@query
+def mot_box_events(spark, sf):
+    """Events of matching true and found boxes frame by frame."""
+    return matching.match_boxes(*A.sequences(spark, sf))
+
+
+@query
+def mot_box_scores(spark, sf):
+    return matching.mot_scores(matching.match_boxes(*A.sequences(spark, sf)))
+
+
+@query
+def occlusion_run(spark, sf):
+    """Appearance tracking, prediction of occluded tracks and fusion over short runs of moving boxes."""
+    b = A.boxes(spark, sf).withColumn("lines", F.max("det").over(W.partitionBy("frame")))
+    moved = b.select(F.col("frame").alias("run_id"), "det", "x1", "y1", "x2", "y2", "lines", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("t"))
+    tick = (F.col("t") * 1000).cast("long").alias("tick_ms")
+    feature = F.transform(F.sequence(F.lit(1), F.greatest("lines", F.lit(3))), lambda i: F.when(F.col("det") == i, 1.0).otherwise(0.05))
+    detections = moved.select("run_id", tick, "det", *[(F.col(c) + F.col("t") * 2).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0.9).alias("score"), feature.alias("feature"))
+    vessels_ = moved.select("run_id", tick, (431000000 + F.col("det")).cast("long").alias("mmsi"), ((F.col("x1") + F.col("x2")) / 2 + F.col("t") * 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + F.col("t") * 2).alias("y"))
+    return occlusion.track_through_occlusion(detections, vessels_, 540.0)
+
+
+@query
+def nms_covered(spark, sf):
+    return motion.suppress_covered(A.boxes(spark, sf))
+
+
+@query
+def coco_annotations(spark, sf):
+    truth, _ = A.truth_and_found(spark, sf)
+    rows = exports.coco_annotations(truth, ["A", "N", "R"])
+    return rows.select("id", "image_id", "category_id", "iscrowd", F.element_at("bbox", 3).alias("w"), "area")
+
+
+@query
+def coco_results(spark, sf):
+    _, found = A.truth_and_found(spark, sf)
+    rows = exports.coco_results(found, ["A", "N", "R"])
+    return rows.select("image_id", "category_id", F.element_at("bbox", 1).alias("x"), F.element_at("bbox", 4).alias("h"), "score")
+
+
+@query
+def image_lists(spark, sf):
+    parts = motion.split_sets(A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
+    return exports.image_lists(parts).groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("name").cast("long")).alias("ids"))
+
+
+@query
+def mosaic_boxes(spark, sf):
+    b = A.boxes(spark, sf).withColumn("quadrant", (F.col("frame") % 4).cast("int"))
+    box, inside = pictures.mosaic_box(B.columns(), F.col("quadrant"), 300.0, 200.0)
+    return b.filter(inside).select("frame", "det", *[v.alias(f"m{k}") for k, v in box.items()])
+
+
+@query
+def rescaled_boxes(spark, sf):
+    """Boxes of 1280 x 720 pictures halved, moved and, in odd frames, mirrored into 640 x 400."""
+    flip = F.col("frame") % 2 == 1
+    box, left = pictures.rescaled_box(B.columns(), (F.lit(1280.0), F.lit(720.0)), (F.lit(640.0), F.lit(360.0)), (F.lit(-200.0), F.lit(20.0)), (640, 400), flip)
+    return A.boxes(spark, sf).filter(left).select("frame", "det", *[v.alias(f"r{k}") for k, v in box.items()])
+
+
+@query
+def packed_vectors(spark, sf):
+    """Speeds written as text and read back, colours by label."""
+    p = motion.speeds(_points(spark, sf))
+    text = F.concat(F.lit("["), F.round("vx", 3).cast("string"), F.lit(", "), F.round("vy", 3).cast("string"), F.lit("]"))
+    back = pictures.vector(text)
+    return p.select("id", "tick", F.get(back, F.lit(0)).alias("vx"), F.get(back, F.lit(1)).alias("vy"), F.element_at(pictures.label_colour(F.col("id") % 1000), 2).alias("green"))

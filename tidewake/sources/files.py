@@ -72,10 +72,28 @@ def clip_start(name: str):
 MOT_SCHEMA = "frame int, id int, x double, y double, w double, h double, score double, label int, visibility double"
 
 
-def read_mot(spark: SparkSession, path: str, truth: bool = False) -> DataFrame:
-    """MOT text; frames below 1 are dropped; ground truth keeps marked rows of label 1, or without labels all marked."""
-    rows = spark.read.schema(MOT_SCHEMA).csv(path).filter("frame >= 1")
-    return rows.filter("score <> 0 AND (label IS NULL OR label IN (1, -1))") if truth else rows
+#: Labels that truth counts, and those whose boxes are ignored.
+TRUE_LABELS, IGNORED_LABELS = (1,), (2, 7, 8, 12)
+
+
+def read_mot(spark: SparkSession, path: str, truth: bool = False, ignored: bool = False) -> DataFrame:
+    """MOT text; frames below 1 are dropped.
+
+    Only files with MOT16- or MOT17- in their path have marks and labels: of those, ground truth
+    keeps marked rows of true labels, ``ignored`` the rows of ignored labels or negative visibility;
+    of other files truth keeps all rows and ``ignored`` none.
+    """
+    rows = spark.read.schema(MOT_SCHEMA).csv(path).select("*", F.col("_metadata.file_path").rlike("MOT1[67]-").alias("__marked")).filter("frame >= 1")
+    if truth:
+        rows = rows.filter(~F.col("__marked") | ((F.col("score").cast("int") != 0) & F.col("label").isin(*TRUE_LABELS)))
+    elif ignored:
+        rows = rows.filter(F.col("__marked") & (F.col("label").isin(*IGNORED_LABELS) | (F.col("visibility") < 0)))
+    return rows.drop("__marked")
+
+
+def kept_labels(rows: DataFrame, wanted: tuple, ignored: tuple, column: str = "label") -> DataFrame:
+    """Rows of wanted labels that are not ignored ones."""
+    return rows.filter(F.col(column).isin(*wanted) & ~F.col(column).isin(*ignored))
 
 
 def write_mot(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
