@@ -174,7 +174,7 @@ class TokenFiles:
         folder, path, end = self.folder, self.path, self.end
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = tokenids.IdEncoder(path)
+            encoder = tokenids.encoder(path)
             for batch in textcore.gathered(batches):
                 for part, texts in textcore.text_groups(batch, 1):
                     ids, at = encoder.texts(texts)
