@@ -63,6 +63,21 @@ def test_warping():
         assert trajectory.dtw(b, a) == pytest.approx(d[-1, -1])
 
 
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_pairs_warped_together_equal_each_alone(monkeypatch, cells):
+    monkeypatch.setattr(trajectory, "DTW_CELLS", cells)
+    rng = np.random.default_rng(2)
+    tracks, vessels = ([rng.normal(size=(n, 2)) for n in rng.integers(1, 25, size=k)] for k in (9, 7))
+    angles = trajectory.angles_between(tracks, vessels)
+    assert angles.tolist() == [[trajectory.angle_between(t, v) for v in vessels] for t in tracks]
+    wanted = rng.random(angles.shape) < 0.7
+    got = trajectory.similarities(tracks, vessels, angles, wanted)
+    assert got.tolist() == [trajectory.similarity(tracks[i], vessels[j]) for i, j in zip(*np.nonzero(wanted))]
+    assert trajectory.similarities(tracks, vessels, angles, wanted & False).tolist() == []
+    empty = trajectory.padded([np.empty((0, 2))])
+    assert trajectory.dtw_many(empty, trajectory.padded(vessels[:1]), np.array([0]), np.array([0])).tolist() == [math.inf]
+
+
 def test_angles_and_similarity():
     east, west, north = points((0, 0), (10, 0)), points((10, 0), (0, 0)), points((0, 0), (0, 10))
     assert trajectory.angle_between(east, east) == 0
