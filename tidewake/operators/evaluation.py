@@ -26,21 +26,39 @@ def judge(truth: DataFrame, found: DataFrame, least: float = C.EVAL_MIN_IOU) ->
     return best.select("frame", "det", "cls", "conf", "iou", tp.alias("tp"))
 
 
-def curve(truth: DataFrame, judged: DataFrame) -> DataFrame:
-    """Recall and precision by confidence rank of each class, with cumulative false positives."""
+def curve(truth: DataFrame, judged: DataFrame, slices: int = 4096) -> DataFrame:
+    """Recall and precision by confidence rank of each class, with cumulative false positives.
+
+    A class is ranked in slices of confidence (0 to 1; others fall into the end slices), which
+    are numbered from the most confident and start from the totals of the slices above them, so that no task holds a whole class.
+    """
     counts = truth.groupBy("cls").agg(F.count(F.when(~F.col("difficult"), 1)).alias("n_gt"), F.countDistinct("frame").alias("n_images"))
-    w = W.partitionBy("cls").orderBy(F.desc("conf"), "frame", "det").rowsBetween(W.unboundedPreceding, 0)
-    ranked = judged.select("cls", "conf", F.row_number().over(W.partitionBy("cls").orderBy(F.desc("conf"), "frame", "det")).alias("rank"), F.sum(F.coalesce("tp", F.lit(0))).over(w).alias("cum_tp"), F.sum(F.when(F.col("tp") == 0, 1).otherwise(0)).over(w).alias("cum_fp"))
-    return ranked.join(F.broadcast(counts), "cls").select("cls", "rank", "conf", (F.col("cum_tp") / F.greatest("n_gt", F.lit(1))).alias("rec"), (F.col("cum_tp") / F.greatest(F.col("cum_tp") + F.col("cum_fp"), F.lit(1))).alias("prec"), "cum_fp", "n_images")
+    at = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(slices), F.floor((1 - F.col("conf")) * slices))), F.lit(slices + 1)).cast("int")
+    w = W.partitionBy("cls", "slice").orderBy(F.desc("conf"), "frame", "det").rowsBetween(W.unboundedPreceding, 0)
+    false = F.when(F.col("tp") == 0, 1).otherwise(0)
+    inner = judged.withColumn("slice", at).select("cls", "slice", "conf", F.count(F.lit(1)).over(w).alias("rank"), F.sum(F.coalesce("tp", F.lit(0))).over(w).alias("cum_tp"), F.sum(false).over(w).alias("cum_fp"))
+    sums = ("rank", "cum_tp", "cum_fp")
+    above = W.partitionBy("cls").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = inner.groupBy("cls", "slice").agg(*[F.max(c).alias(c) for c in sums])
+    before = totals.select("cls", "slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in sums])
+    ranked = inner.join(before, ["cls", "slice"]).select("cls", "slice", "conf", *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in sums])
+    return ranked.join(F.broadcast(counts), "cls").select("cls", "slice", "rank", "conf", (F.col("cum_tp") / F.greatest("n_gt", F.lit(1))).alias("rec"), (F.col("cum_tp") / F.greatest(F.col("cum_tp") + F.col("cum_fp"), F.lit(1))).alias("prec"), "cum_fp", "n_images")
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    """AP per class: recall steps times the precision envelope."""
-    order = W.partitionBy("cls").orderBy("rank")
-    # The maximum from a rank on, run from the last rank back: linear, unlike a frame that looks ahead.
-    envelope = F.max("prec").over(W.partitionBy("cls").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0))
-    step = F.col("rec") - F.coalesce(F.lag("rec").over(order), F.lit(0.0))
-    return points.select("cls", (step * envelope).alias("part")).groupBy("cls").agg(F.sum("part").alias("ap"))
+    """AP per class: recall steps times the precision envelope, slice by slice of curve().
+
+    A slice starts from the last recall of the slice before and the best precision of those behind.
+    """
+    order = W.partitionBy("cls").orderBy("slice")
+    ends = points.groupBy("cls", "slice").agg(F.max("rec").alias("rec"), F.max("prec").alias("prec"))
+    # The maximum from a place on, run from the last place back: linear, unlike a frame that looks ahead.
+    behind = W.partitionBy("cls").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("cls", "slice", F.coalesce(F.lag("rec").over(order), F.lit(0.0)).alias("rec_before"), F.coalesce(F.max("prec").over(behind), F.lit(0.0)).alias("prec_behind"))
+    own = W.partitionBy("cls", "slice")
+    step = points.select("cls", "slice", F.col("rec") - F.lag("rec").over(own.orderBy("rank")), "rec", F.max("prec").over(own.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0))).toDF("cls", "slice", "step", "rec", "top")
+    parts = step.join(ends, ["cls", "slice"]).select("cls", (F.coalesce("step", F.col("rec") - F.col("rec_before")) * F.greatest("top", "prec_behind")).alias("part"))
+    return parts.groupBy("cls").agg(F.sum("part").alias("ap"))
 
 
 def scores_at_cut(points: DataFrame, cut: float = C.EVAL_SCORE_CUT) -> DataFrame:
@@ -52,10 +70,10 @@ def scores_at_cut(points: DataFrame, cut: float = C.EVAL_SCORE_CUT) -> DataFrame
 
 def log_average_miss_rate(points: DataFrame) -> DataFrame:
     """Geometric mean of 1 - recall at nine false-positive rates per image, evenly spaced in the logarithm."""
-    refs = F.array(*[F.lit(10 ** (-2 + i / 4)) for i in range(9)])
-    rows = points.select("cls", "rank", (1 - F.col("rec")).alias("miss"), (F.col("cum_fp") / F.col("n_images")).alias("fppi"), F.posexplode(refs).alias("i", "ref"))
-    at = rows.groupBy("cls", "i").agg(F.coalesce(F.max_by("miss", F.when(F.col("fppi") <= F.col("ref"), F.col("rank"))), F.lit(1.0)).alias("miss"))
-    return at.groupBy("cls").agg(F.exp(F.avg(F.log(F.greatest("miss", F.lit(1e-10))))).alias("lamr"))
+    fppi = F.col("cum_fp") / F.col("n_images")
+    at = [F.coalesce(F.max_by(1 - F.col("rec"), F.when(fppi <= 10 ** (-2 + i / 4), F.col("rank"))), F.lit(1.0)) for i in range(9)]
+    misses = points.groupBy("cls").agg(*[F.log(F.greatest(m, F.lit(1e-10))).alias(f"m{i}") for i, m in enumerate(at)])
+    return misses.select("cls", F.exp(sum(F.col(f"m{i}") for i in range(9)) / 9).alias("lamr"))
 
 
 def mot_summary(events: DataFrame) -> DataFrame:

@@ -444,7 +444,7 @@ def voc_tp_fp(spark, sf):
 
 @query
 def voc_pr_curve(spark, sf):
-    return evaluation.curve(*_judged(spark, sf)).select("cls", "rank", F.round("rec", 6).alias("rec"), F.round("prec", 6).alias("prec"))
+    return evaluation.curve(*_judged(spark, sf)).select("cls", F.col("rank").cast("int").alias("rank"), F.round("rec", 6).alias("rec"), F.round("prec", 6).alias("prec"))
 
 
 @query
