@@ -55,6 +55,8 @@ KEPT_BACK = 4
 CELLS = 1 << 16
 #: Slots of the table of word values that a task remembers.
 SLOTS = 1 << 20
+#: Bytes of texts that are read at once; a longer text is read by itself.
+GROUP_BYTES = 4 << 20
 
 
 def letters(word: str) -> str:
@@ -475,10 +477,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            scores = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.column(place).slice(at, 256)
-                scores.append(shared.value.of_text(*reader.read(list(textcore.text_bytes(part)))))
+            scores = [shared.value.of_text(*reader.read(texts)) for _, texts in textcore.text_groups(batch, place, GROUP_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores) if scores else np.empty(0))], [*keep, score])
 
     return slim.mapInArrow(textcore.lean(values), schema)
