@@ -14,7 +14,9 @@ def test_nothing_else_imports_the_corpus_operators():
     for path in (ROOT / "tidewake").rglob("*.py"):
         if "llm" in path.relative_to(ROOT).parts:
             continue
-        names = {n.module or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)}
+        nodes = list(ast.walk(ast.parse(path.read_text())))
+        names = {f"{n.module or ''}.{a.name}" for n in nodes if isinstance(n, ast.ImportFrom) for a in n.names}
+        names |= {a.name for n in nodes if isinstance(n, ast.Import) for a in n.names}
         assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
 
 
