@@ -76,7 +76,20 @@ def second_gate(messages: DataFrame, frame_ms: int) -> DataFrame:
     return messages.filter(F.pmod(F.col("ts_ms"), F.lit(1000)) < frame_ms)
 
 
-def tumbling_means(points: DataFrame, key: str, values: list[str], width: str = "1 second") -> DataFrame:
-    """Per key and window the means of values, truncated to integers."""
-    means = [F.avg(v).cast("int").alias(v) for v in values]
-    return points.groupBy(key, F.window("ts", width).alias("w")).agg(*means).select(key, F.col("w.start").alias("start"), *values)
+def tumbling_means(points: DataFrame, key: str, values: list[str], width: str = "1 second", order: str | None = None) -> DataFrame:
+    """Per key and window the means of values, truncated to integers; points without a time are a window of their own.
+
+    Sums of doubles depend on the order of addition, which decides a mean that is whole: with ``order``
+    numbers are added in that column's order, by a window that holds no group in memory.
+    """
+    timed = points.withColumn("start", F.window("ts", width)["start"])
+    timed = timed.unionByName(points.filter("ts IS NULL").withColumn("start", F.lit(None).cast(timed.schema["start"].dataType)))
+    if order is None:
+        return timed.groupBy(key, "start").agg(*[F.avg(v).cast("int").alias(v) for v in values])
+    w = W.partitionBy(key, "start").orderBy(order)
+    rows = w.rowsBetween(W.unboundedPreceding, 0)
+    whole = {f.name for f in points.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    sums = [F.sum(F.col(v).cast("decimal(20,0)") if v in whole else F.col(v)).over(rows).cast("double") for v in values]
+    means = [F.try_divide(s, F.count(v).over(rows)).cast("int").alias(f"mean_{v}") for v, s in zip(values, sums)]
+    last = timed.select(key, "start", *means, F.lead(F.lit(1)).over(w).alias("more")).filter("more IS NULL")
+    return last.select(key, "start", *[F.col(f"mean_{v}").alias(v) for v in values])
