@@ -259,3 +259,13 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     whole = textcore.word_hashes(np.frombuffer(text, np.uint8))
     monkeypatch.setattr(textcore, "SEGMENT", 64)
     assert (textcore.word_hashes(np.frombuffer(text, np.uint8)) == whole).all() and whole[0] == whole[-1] != whole[2]
+
+
+def test_the_toxicity_model_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver of the pipeline went over its memory with the sample and its kernels."""
+    import os
+
+    monkeypatch.setattr(toxicity, "fit", lambda rows: (os.getpid(), len(rows)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    pid, n = toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    assert n == 6 and pid != os.getpid()

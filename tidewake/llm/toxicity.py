@@ -16,6 +16,7 @@ sentences, fitted on labelled texts that the machine has not seen.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -456,10 +457,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``toxic_texts`` and ``other_texts`` of the labelled rows that are given, of at most ``text_bytes`` each.
 
     Copies of one text count once.  Null labels, keys and texts are left out; without both labels
-    every text scores low.  Ties in the order by hash do not matter: keys are distinct.
+    every text scores low.  Ties in the order by hash do not matter: keys are distinct.  One task
+    fits and sends the model, so the driver holds neither the sample nor its kernels.
     """
     sample = labelled_sample(docs, labels, key, text, label, toxic_texts, other_texts, text_bytes)
-    return fit(sorted((r["t"].encode(), r["y"], r["back"]) for r in sample.collect()))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t.encode(), y, back) for batch in batches for t, y, back in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows)))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(textcore.lean(fitted), "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else fit([])
 
 
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", score: str = "score") -> DataFrame:
