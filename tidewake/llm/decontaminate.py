@@ -215,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]], ["k", "item", "score", "first_word", "n_words"])
 
-        found = found.union(slim.mapInArrow(scan, schema))
+        found = found.union(slim.mapInArrow(textcore.lean(scan), schema))
     return found.select(F.col("k").alias(key), F.col("item").alias("item_id"), "score", "first_word", "n_words")
 
 
@@ -230,5 +230,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
             for batch in batches:
                 yield batch.filter(pa.array([not block.matches(words_of(data), memo) for data in textcore.text_bytes(batch.column(place))], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(textcore.lean(keep), docs.schema)
     return docs

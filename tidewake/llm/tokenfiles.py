@@ -33,6 +33,8 @@ END_ID = 1
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 1 << 16
 MOST_FILES = 20_000
+#: Bytes of texts that are encoded at once: words, hashes and ids of them take thirty times as many.
+ENCODE_BYTES = 1 << 20
 GAMMA = 2.0
 
 
@@ -153,6 +155,17 @@ def key_bits(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
+def id_batches(batches: Iterator[pa.RecordBatch], encoder: tokenids.IdEncoder, end: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """(k, ids with the end id, as bytes) of batches of (k, text); at most ENCODE_BYTES of texts, or one text, are encoded at once."""
+    for batch in textcore.gathered(batches, ENCODE_BYTES):
+        for part, texts in textcore.text_groups(batch, 1, ENCODE_BYTES):
+            ids, at = encoder.texts(texts)
+            ids = np.insert(ids, at[1:], end).astype(kind)
+            at = (at + np.arange(len(at))) * ids.itemsize
+            column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), column], ["k", "ids"])
+
+
 class TokenFiles:
     """Writes and reads the files of one folder."""
 
@@ -174,14 +187,7 @@ class TokenFiles:
         folder, path, end = self.folder, self.path, self.end
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = tokenids.encoder(path)
-            for batch in textcore.gathered(batches):
-                for part, texts in textcore.text_groups(batch, 1):
-                    ids, at = encoder.texts(texts)
-                    ids = np.insert(ids, at[1:], end).astype(kind)
-                    at = (at + np.arange(len(at))) * ids.itemsize
-                    column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0), column], ["k", "ids"])
+            return id_batches(batches, tokenids.encoder(path), end, kind)
 
         # Keys alone set the bounds of the shards, so that texts are read and encoded once.
         bounds = self._bounds(shards)
